@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 # Number of hash buckets dense ids are handed out from; three hex digits of MD5.
 ID_BUCKETS = 16**3
+HOT_KEYS_MAX = 10_000
 
 
 def last_known(col: str, ord_col: str) -> Column:
@@ -24,7 +25,7 @@ def last_known(col: str, ord_col: str) -> Column:
 
 def first_seen_value(col: str, ord_col: str) -> Column:
     """Value of the earliest change, NULL included."""
-    return F.min_by(F.struct(col), F.col(ord_col)).getField(col).alias(col)
+    return F.min_by(col, ord_col).alias(col)
 
 
 def fold(
@@ -148,24 +149,42 @@ def with_new_ids(rows: DataFrame, base: DataFrame, id_col: str, order: Sequence[
     )
 
 
-def carry_previous(df: DataFrame, key: str, order: str, value: str, bucket: Column, name: str) -> DataFrame:
-    """``lag(value)`` per key without ever sorting a whole key in one task.
+def hot_keys(df: DataFrame, key: str, threshold: int, at_most: int = HOT_KEYS_MAX) -> DataFrame:
+    """The keys with more than ``threshold`` rows, at most the ``at_most`` most frequent.
 
-    ``bucket`` must grow with ``order`` (a day of a timestamp, say). Rows are
-    lagged within (key, bucket); only the first row of a bucket needs the last
-    value of the bucket before it, and that comes from a table with one row per
-    (key, bucket). ``order`` must be unique per key.
+    The cap bounds the broadcast of the result and costs no exactness: a key
+    outside the list only misses special treatment, and by counting it holds
+    less than ``1 / at_most`` of all rows.
     """
-    tagged = df.withColumn("_bucket", bucket)
+    counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
+    return counts.filter(F.col("_rows") > threshold).orderBy(F.desc("_rows"), key).limit(at_most).select(key)
+
+
+def carry_previous(
+    df: DataFrame, key: str, order: str, value: str, bucket: Column, hot: DataFrame, name: str
+) -> DataFrame:
+    """``lag(value)`` per key without ever sorting a hot key in one task.
+
+    Rows of the keys in ``hot`` (bounded, see ``hot_keys``) are cut by
+    ``bucket``, which must grow with ``order`` (a day of a timestamp, say), and
+    lagged within (key, bucket). Only the first row of a bucket needs the last
+    value of the bucket before it; that comes from a table with one row per hot
+    key and bucket. ``order`` must be unique per key and ``value`` never NULL.
+    """
+    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    tagged = marked.withColumn("_bucket", F.when(F.col("_hot"), bucket).otherwise(F.lit(0)))
     inside = Window.partitionBy(key, "_bucket").orderBy(order)
-    lagged = tagged.withColumn("_inner", F.lag(F.struct(value)).over(inside))
-    edges = tagged.groupBy(key, "_bucket").agg(F.max_by(F.struct(value), F.col(order)).alias("_last"))
+    lagged = tagged.withColumn("_inner", F.lag(value).over(inside))
+    edges = (
+        df.join(F.broadcast(hot), key, "left_semi")
+        .groupBy(key, bucket.alias("_bucket"))
+        .agg(F.max_by(value, order).alias("_last"))
+    )
     carried = edges.select(
         key, "_bucket", F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket")).alias("_carried")
     )
-    previous = F.coalesce("_inner", "_carried").getField(value)
     return (
-        lagged.join(carried, [key, "_bucket"])
-        .withColumn(name, previous)
-        .drop("_bucket", "_inner", "_carried")
+        lagged.join(carried, [key, "_bucket"], "left")
+        .withColumn(name, F.coalesce("_inner", "_carried"))
+        .drop("_hot", "_bucket", "_inner", "_carried")
     )

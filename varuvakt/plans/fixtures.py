@@ -86,8 +86,8 @@ SELECT conv_id AS job_id, turn - 1 AS row_index, CASE WHEN turn % 4 = 1 THEN ''
  CASE WHEN turn % 4 = 1 THEN '' ELSE concat('varför ', cast(turn AS STR)) END AS varfor
  FROM {conversations} WHERE role = 'assistant' AND turn > 0""",
     "crawl_items": """
-SELECT MS(l_shipdate) AS ts, l_orderkey AS job_id, cast(l_linenumber AS bigint) AS ord, l_partkey AS product_id,
- cast(floor(l_extendedprice / l_quantity) AS bigint) AS price FROM {lineitem}""",
+SELECT MS(l_shipdate) AS ts, l_partkey AS product_id, cast(floor(l_extendedprice / l_quantity) AS bigint) AS price,
+ (l_orderkey * 10 + l_linenumber) * 1000000 + cast(floor(l_extendedprice / l_quantity) AS bigint) AS ord FROM {lineitem}""",
     "jobs": """
 SELECT conv_id AS id, conv_id % 40 AS account_id,
  CASE conv_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'paused' WHEN 3 THEN 'done' ELSE 'error' END AS status,

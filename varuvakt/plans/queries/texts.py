@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varuvakt.functions import faults, prompts, text
-from varuvakt.functions.replies import parse_description, parse_product_array
+from varuvakt.functions.replies import parse_description, parse_product_arrays, product_rows
 from varuvakt.operators.describe import extract_with
 from varuvakt.plans.fixtures import NOW_MS, Fixture
 from varuvakt.plans.registry import query
@@ -33,36 +33,32 @@ def _build_prompt(fx: Fixture) -> DataFrame:
     return fx.jobs.select("id", prompts.system_prompt(*options).alias("prompt"))
 
 
-# Replies of every shape the parser meets, around a document's whole text.
-REPLIES = """
-SELECT doc_id, q, CASE doc_id % 8 WHEN 0 THEN concat('{"beskrivning": ', q, ', "varför": " därför "}')
+# Replies of every shape the parsers meet, around a document's whole text (q: the text as a JSON string).
+REPLY = """CASE doc_id % 8 WHEN 0 THEN concat('{"beskrivning": ', q, ', "varför": " därför "}')
  WHEN 1 THEN concat('Här: {"beskrivning": ', q, ', "varfor": "utan prickar"} hej')
  WHEN 2 THEN concat('{"beskrivning": ', q, '} skräp }') WHEN 3 THEN '{bad}' WHEN 4 THEN concat('  ', text, '  ')
- WHEN 5 THEN '{"beskrivning": 12, "varför": null}' WHEN 6 THEN '{"beskrivning": {"k": 1}, "varför": true}' ELSE NULL END AS reply FROM {source}"""
-SPARK_QUOTED = "(SELECT doc_id, text, to_json(named_struct('t', text)) AS j FROM {documents})"
+ WHEN 5 THEN '{"beskrivning": 12, "varför": null}' WHEN 6 THEN '{"beskrivning": {"k": 1}, "varför": true}' ELSE NULL END AS reply"""
+ARRAY_REPLY = """CASE doc_id % 6
+ WHEN 0 THEN concat('Svar: [{"Product": ', q, ', "Site": " S ", "Price (SEK)": 10}, {"Site": "utan"}, {"Product": "två"}] slut')
+ WHEN 1 THEN concat('[{"Product": ', q, '}') WHEN 2 THEN concat('[{"Product": ', q, '}] skräp ]') WHEN 3 THEN '[{"Site": "x"}, {"Product": " "}]'
+ WHEN 4 THEN '[]' ELSE concat('[{"Product": "ett"},{"Product": null, "Site": ', q, '}]') END AS reply"""
 
 
-def replies(fx: Fixture) -> DataFrame:
-    source = f"(SELECT doc_id, text, substring(j, 6, length(j) - 6) AS q FROM {SPARK_QUOTED})"
-    return fx.spark.sql(REPLIES.replace("{source}", source), documents=fx.documents)
+def quoted_documents(fx: Fixture) -> DataFrame:
+    wrapped = fx.documents.selectExpr("doc_id", "text", "to_json(named_struct('t', text)) AS j")
+    return wrapped.selectExpr("doc_id", "text", "substring(j, 6, length(j) - 6) AS q")
 
 
 @query(
     "parse_description",
-    f"""WITH replies AS ({REPLIES.replace('{source}', "(SELECT doc_id, text, to_json(text)::varchar AS q FROM documents)")}),
+    f"""WITH replies AS (SELECT doc_id, {REPLY} FROM (SELECT doc_id, text, to_json(text)::varchar AS q FROM documents)),
 shaped AS (SELECT doc_id, TRIM(coalesce(reply, '')) AS reply, TRIM(text) AS text FROM replies JOIN documents USING (doc_id))
 SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN text WHEN 1 THEN text WHEN 5 THEN '12' WHEN 6 THEN '{{"k":1}}' ELSE reply END AS beskrivning,
  CASE doc_id % 8 WHEN 0 THEN 'därför' WHEN 1 THEN 'utan prickar' WHEN 6 THEN 'true' ELSE '' END AS varfor FROM shaped""",
 )
 def _parse_description(fx: Fixture) -> DataFrame:
-    return replies(fx).select("doc_id", parse_description(F.col("reply")).alias("p")).select("doc_id", "p.*")
-
-
-ARRAYS = """
-SELECT doc_id, CASE doc_id % 6
- WHEN 0 THEN concat('Svar: [{"Product": ', q, ', "Site": " S ", "Price (SEK)": 10}, {"Site": "utan"}, {"Product": "två"}] slut')
- WHEN 1 THEN concat('[{"Product": ', q, '}') WHEN 2 THEN concat('[{"Product": ', q, '}] skräp ]') WHEN 3 THEN '[{"Site": "x"}, {"Product": " "}]'
- WHEN 4 THEN '[]' ELSE concat('[{"Product": "ett"},{"Product": null, "Site": ', q, '}]') END AS reply FROM {source}"""
+    replies = quoted_documents(fx).selectExpr("doc_id", REPLY)
+    return replies.select("doc_id", parse_description(F.col("reply")).alias("p")).select("doc_id", "p.*")
 
 
 @query(
@@ -74,18 +70,14 @@ UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, CASE doc_id % 6 WHEN 1 TH
  FROM documents WHERE doc_id % 6 IN (1, 2, 3, 4)""",
 )
 def _parse_product_array(fx: Fixture) -> DataFrame:
-    source = f"(SELECT doc_id, text, substring(j, 6, length(j) - 6) AS q FROM {SPARK_QUOTED})"
-    answers = fx.spark.sql(ARRAYS.replace("{source}", source), documents=fx.documents)
-    rows, errors = parse_product_array(answers, "reply", ["doc_id"])
-    return product_rows(rows, errors)
+    answers = quoted_documents(fx).selectExpr("doc_id", ARRAY_REPLY)
+    parsed = parse_product_arrays(answers.select("doc_id", F.array("reply").alias("replies")), "replies")
+    return renamed(product_rows(parsed, ["doc_id"]))
 
 
-def product_rows(rows: DataFrame, errors: DataFrame) -> DataFrame:
-    named = rows.select(
-        "doc_id", "row_index", F.col("Site").alias("site"), F.col("Product").alias("product"),
-        F.col("Price (SEK)").alias("price"), F.col("Link").alias("link"),
-    )
-    return named.unionByName(errors, allowMissingColumns=True)
+def renamed(rows: DataFrame) -> DataFrame:
+    names = {"Site": "site", "Product": "product", "Price (SEK)": "price", "Link": "link"}
+    return rows.withColumnsRenamed(names)
 
 
 def quote_lines(system: str, piece: str) -> str:
@@ -110,7 +102,8 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, line_no) -
  length(product)::varchar AS price, '' AS link, NULL AS error FROM listed WHERE product <> ''""",
 )
 def _extract_with(fx: Fixture) -> DataFrame:
-    return product_rows(*extract_with(fx.documents.select("doc_id", "text"), quote_lines, ["doc_id"], EXTRACT_WINDOW))
+    docs, calls = fx.documents.select("doc_id", "text"), fx.spark.sparkContext.defaultParallelism
+    return renamed(extract_with(docs, quote_lines, ["doc_id"], EXTRACT_WINDOW, calls))
 
 
 PROVIDER_ERRORS = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Time zone is part of the semantics (UTC days, millisecond conversion); the
 # rest are plan-quality settings a cluster may override.
@@ -37,3 +37,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="varuvakt-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows of ``df`` stored in the shared folder and read back.
+
+    Cuts the lineage, so a result with side effects or a high price is computed
+    once, whatever is derived from it and whichever executors are lost.
+    """
+    location = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(location)
+    return df.sparkSession.read.schema(df.schema).parquet(location)

@@ -10,8 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from varuvakt.functions.text import blank_to_null
 from varuvakt.operators.catalogue import apply_crawl_batch, detail_history, list_history
-from varuvakt.operators.crawl import apply_job_results, flatten_results, link_detail_jobs
-from varuvakt.operators.merge import absent
+from varuvakt.operators.crawl import (
+    MAX_ATTEMPTS,
+    apply_job_results,
+    flatten_results,
+    is_active,
+    link_detail_jobs,
+    with_jobs,
+)
 from varuvakt.schemas import CRAWL_RESULT, TABLES
 from varuvakt.sources.snapshots import SnapshotStore
 
@@ -29,40 +35,42 @@ def changed_tables(
     jobs: DataFrame,
     results: DataFrame,
     now_ms: int,
-    stage: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    keep: Callable[[str, DataFrame], DataFrame] = lambda name, rows: rows,
 ) -> dict[str, DataFrame]:
     """Rows of the three tables that a batch of results adds or replaces.
 
     The tables are first narrowed to what the batch touches, so the work beyond
-    one scan per table grows with the batch. ``stage`` may store the product
-    rows, which the history needs again.
+    one scan per table grows with the batch. ``keep`` may store a named
+    intermediate result that is used several times.
     """
-    details, links, items = flatten_results(results, jobs)
+    reported = keep("reported", jobs.join(results.select(F.col("job_id").alias("id")), "id", "left_semi"))
+    known = keep("known", with_jobs(results, reported))
+    details, links, items = flatten_results(known)
     urls = details.select("url").unionByName(links.select("url")).unionByName(items.select("url")).distinct()
-    touched = products.join(urls, "url", "left_semi")
-    after = stage(apply_crawl_batch(touched, details, links, items, now_ms, ids_after=products))
+    touched = keep("touched", products.join(urls, "url", "left_semi"))
+    after = keep("products", apply_crawl_batch(touched, details, links, items, now_ms, ids_after=products))
 
     ids = after.select("url", F.col("id").alias("product_id"))
-    position = F.struct("ord", F.lit(2).alias("kind"), F.col("pos").cast("int").alias("pos"))
-    detail_position = F.struct("ord", F.lit(0).alias("kind"), F.lit(0).alias("pos"))
-    offered = items.join(ids, "url").select("product_id", "price", position.alias("ord"))
-    seen = details.join(ids, "url").select("product_id", "price", detail_position.alias("ord"))
-    points = detail_history(details, after, now_ms).unionByName(list_history(offered, history, now_ms, seen))
-
-    finished = results.filter(blank_to_null(F.col("error")).isNull()).select("job_id", "ord")
-    dead = results.join(
-        jobs.filter("attempts >= 5").select(F.col("id").alias("job_id")), "job_id", "left_semi"
-    ).select("job_id", "ord")
-    ends = finished.unionByName(dead)
-    sourced = touched.filter("source_text IS NOT NULL").select("url", F.lit(-1).cast("long").alias("ord")).unionByName(
-        details.filter("source_text IS NOT NULL").select("url", "ord")
+    item_place = F.struct("ord", F.lit(2).alias("kind"), F.col("pos").cast("int").alias("pos"))
+    detail_place = F.struct("ord", F.lit(0).alias("kind"), F.lit(0).alias("pos"))
+    offered = items.join(ids, "url").select("product_id", "price", item_place.alias("ord"))
+    seen = details.join(ids, "url").select("product_id", "price", detail_place.alias("ord"))
+    priced = keep("history", history.join(ids, "product_id", "left_semi"))
+    points = detail_history(details, after, now_ms).unionByName(list_history(offered, priced, now_ms, seen))
+
+    # A job ends with its first success, or with any result once its attempts are used up.
+    ends = known.filter(blank_to_null(F.col("error")).isNull() | (F.col("attempts") >= MAX_ATTEMPTS)).select("job_id", "ord")
+    filled = (
+        touched.filter("source_text IS NOT NULL")
+        .select("url", F.lit(-1).cast("long").alias("ord"))
+        .unionByName(details.filter("source_text IS NOT NULL").select("url", "ord"))
+        .groupBy("url")
+        .agg(F.min("ord").alias("filled_at"))
     )
-    wanted = items.select("url", "site_id", "ord")
-    unsourced = wanted.join(sourced.groupBy("url").agg(F.min("ord").alias("filled_at")), "url", "left").filter(
-        "filled_at IS NULL OR ord < filled_at"
-    ).drop("filled_at")
-    fresh_jobs = link_detail_jobs(jobs, links.select("url", "site_id", "ord").unionByName(unsourced), now_ms, finished=ends)
-    reported = jobs.join(results.select(F.col("job_id").alias("id")), "id", "left_semi")
+    unfilled = items.join(filled, "url", "left").filter("filled_at IS NULL OR ord < filled_at")
+    wanted = links.select("url", "site_id", "ord").unionByName(unfilled.select("url", "site_id", "ord"))
+    blocking = jobs.filter(is_active("detail")).join(wanted.select("url"), "url", "left_semi")
+    fresh_jobs = link_detail_jobs(blocking, wanted, now_ms, finished=ends, ids_after=jobs)
     return {
         "products": after,
         "price_history": points,
@@ -74,13 +82,19 @@ def apply_results(store: SnapshotStore, results: DataFrame, batch: int, now_ms:
     """Commit one batch of results; a batch that is committed already changes nothing."""
     if store.is_committed(batch):
         return False
-    results = results.persist()
-    changes = changed_tables(
-        *[store.read(n) for n in NAMES], results, now_ms, lambda rows: store.stage("products", batch, rows)
-    )
+    kept: list[DataFrame] = [results.persist()]
+
+    def keep(name: str, rows: DataFrame) -> DataFrame:
+        if name == "products":
+            return store.stage(name, batch, rows)
+        kept.append(rows.persist())
+        return kept[-1]
+
+    changes = changed_tables(*[store.read(n) for n in NAMES], results, now_ms, keep)
     del changes["products"]
     committed = store.commit(batch, changes)
-    results.unpersist()
+    for rows in kept:
+        rows.unpersist()
     return committed
 
 
