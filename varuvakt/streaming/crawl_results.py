@@ -14,7 +14,6 @@ from varuvakt.operators.crawl import (
     MAX_ATTEMPTS,
     apply_job_results,
     flatten_results,
-    is_active,
     link_detail_jobs,
     with_jobs,
 )
@@ -58,8 +57,8 @@ def changed_tables(
     priced = keep("history", history.join(ids, "product_id", "left_semi"))
     points = detail_history(details, after, now_ms).unionByName(list_history(offered, priced, now_ms, seen))
 
-    # A job ends with its first success, or with any result once its attempts are used up.
-    ends = known.filter(blank_to_null(F.col("error")).isNull() | (F.col("attempts") >= MAX_ATTEMPTS)).select("job_id", "ord")
+    failed = blank_to_null(F.col("error")).isNotNull()
+    reports = known.select("job_id", "ord", (failed & (F.col("attempts") < MAX_ATTEMPTS)).alias("active_after"))
     filled = (
         touched.filter("source_text IS NOT NULL")
         .select("url", F.lit(-1).cast("long").alias("ord"))
@@ -69,8 +68,8 @@ def changed_tables(
     )
     unfilled = items.join(filled, "url", "left").filter("filled_at IS NULL OR ord < filled_at")
     wanted = links.select("url", "site_id", "ord").unionByName(unfilled.select("url", "site_id", "ord"))
-    blocking = jobs.filter(is_active("detail")).join(wanted.select("url"), "url", "left_semi")
-    fresh_jobs = link_detail_jobs(blocking, wanted, now_ms, finished=ends, ids_after=jobs)
+    candidates = jobs.filter("type = 'detail'").join(wanted.select("url"), "url", "left_semi")
+    fresh_jobs = link_detail_jobs(candidates, wanted, now_ms, reports=reports, ids_after=jobs)
     return {
         "products": after,
         "price_history": points,
