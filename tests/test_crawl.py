@@ -82,8 +82,8 @@ def test_ids_are_dense_unique_and_stable(spark):
 
 def test_hot_keys_are_the_largest(spark, rows):
     df = spark.createDataFrame([(k,) for k in [1] * 5 + [2] * 4 + [3] * 3 + [4]], "k int")
-    assert rows(merge.hot_keys(df, "k", 2)) == [(1,), (2,), (3,)]
-    assert rows(merge.hot_keys(df, "k", 2, at_most=2)) == [(1,), (2,)]
+    assert rows(merge.hot_keys(df, ["k"], 2)) == [(1,), (2,), (3,)]
+    assert rows(merge.hot_keys(df, ["k"], 2, at_most=2)) == [(1,), (2,)]
 
 
 def test_upsert_twice_is_idempotent(spark, rows):

@@ -149,15 +149,15 @@ def with_new_ids(rows: DataFrame, base: DataFrame, id_col: str, order: Sequence[
     )
 
 
-def hot_keys(df: DataFrame, key: str, threshold: int, at_most: int = HOT_KEYS_MAX) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int, at_most: int = HOT_KEYS_MAX) -> DataFrame:
     """The keys with more than ``threshold`` rows, at most the ``at_most`` most frequent.
 
     The cap bounds the broadcast of the result and costs no exactness: a key
     outside the list only misses special treatment, and by counting it holds
     less than ``1 / at_most`` of all rows.
     """
-    counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
-    return counts.filter(F.col("_rows") > threshold).orderBy(F.desc("_rows"), key).limit(at_most).select(key)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    return counts.filter(F.col("_rows") > threshold).orderBy(F.desc("_rows"), *keys).limit(at_most).select(*keys)
 
 
 def carry_previous(
