@@ -67,14 +67,17 @@ def changed_tables(
         .agg(F.min("ord").alias("filled_at"))
     )
     unfilled = items.join(filled, "url", "left").filter("filled_at IS NULL OR ord < filled_at")
-    wanted = links.select("url", "site_id", "ord").unionByName(unfilled.select("url", "site_id", "ord"))
-    candidates = jobs.filter("type = 'detail'").join(wanted.select("url"), "url", "left_semi")
-    fresh_jobs = link_detail_jobs(candidates, wanted, now_ms, reports=reports, ids_after=jobs)
-    return {
-        "products": after,
-        "price_history": points,
-        "render_jobs": apply_job_results(reported, results, now_ms).unionByName(fresh_jobs),
-    }
+    wanted = keep(
+        "wanted", links.select("url", "site_id", "ord").unionByName(unfilled.select("url", "site_id", "ord"))
+    )
+    job_rows = apply_job_results(reported, results, now_ms)
+    if not wanted.isEmpty():
+        candidates = keep(
+            "candidates", jobs.filter("type = 'detail'").join(wanted.select("url").distinct(), "url", "left_semi")
+        )
+        fresh_jobs = link_detail_jobs(candidates, wanted, now_ms, reports=reports, ids_after=jobs)
+        job_rows = job_rows.unionByName(fresh_jobs)
+    return {"products": after, "price_history": points, "render_jobs": job_rows}
 
 
 def apply_results(store: SnapshotStore, results: DataFrame, batch: int, now_ms: int) -> bool:
@@ -86,7 +89,9 @@ def apply_results(store: SnapshotStore, results: DataFrame, batch: int, now_ms:
     def keep(name: str, rows: DataFrame) -> DataFrame:
         if name == "products":
             return store.stage(name, batch, rows)
+        # Filled at once: the many small jobs below would otherwise each compute it while it is not there yet.
         kept.append(rows.persist())
+        kept[-1].count()
         return kept[-1]
 
     changes = changed_tables(*[store.read(n) for n in NAMES], results, now_ms, keep)
