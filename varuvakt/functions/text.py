@@ -94,5 +94,6 @@ def redact(col: Column | str, settings: dict[str, str] | None = None) -> Column:
     for value in secret_values(settings or {}):
         out = F.replace(out, F.lit(value), F.lit("[REDACTED]"))
     out = F.regexp_replace(out, KEY_PATTERN, "[REDACTED]")
-    out = F.regexp_replace(out, EMAIL_PATTERN, "[EMAIL REDACTED]")
-    return F.regexp_replace(out, HOME_PATTERN, "/home/[user]")
+    # Most texts hold no address or path; a plain search is far cheaper than the patterns.
+    out = F.when(F.contains(out, F.lit("@")), F.regexp_replace(out, EMAIL_PATTERN, "[EMAIL REDACTED]")).otherwise(out)
+    return F.when(F.contains(out, F.lit("/home/")), F.regexp_replace(out, HOME_PATTERN, "/home/[user]")).otherwise(out)

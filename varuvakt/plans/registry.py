@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from varuvakt.functions.text import LOWER, UPPER, WHITESPACE
 from varuvakt.plans.fixtures import NOW_MS, VIEWS, Fixture, render
+from varuvakt.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            apply_settings(spark)
             return fn(Fixture(spark, sf_dir))
 
         QUERIES[name] = run

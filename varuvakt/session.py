@@ -13,8 +13,12 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join even where the aggregation above it then needs a shuffle of its own.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Uploaded files come one per row and may be large, so Arrow batches are bounded by size, too.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(128 * 1024 * 1024),
 }
 
 
@@ -27,6 +31,12 @@ def build_session(app: str = "varuvakt", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """Put the settings on a session someone else has built."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for data that several executors write and read.
 
