@@ -123,3 +123,19 @@ def test_ready_worklist(spark, rows):
     work = spark.createDataFrame([(1, None, None), (2, 100, None), (3, 101, None), (4, 50, 99), (5, 50, 100), (6, None, 100)], "id int, resume_at long, deferred_at long")
     got = rows(uploads.ready_worklist(work.selectExpr("id", "resume_at", "deferred_at * 1L as deferred_at"), 1099), "id", "not_before")
     assert got == [(1, None), (2, 100), (3, 101), (4, 1099), (6, None)]
+
+
+def test_uploads_become_jobs_and_move_on(spark, rows):
+    jobs = jobs_world(spark)[0]
+    asked = spark.createDataFrame([(7, "in/a.csv", "a.csv", None, ""), (8, "in/b.txt", "b.txt", ("saklig", "", ""), "x")],
+                                  "account_id long, path string, filename string, options struct<tone:string,length:string,audience:string>, custom_direction string")
+    fresh = uploads.queue_uploads(jobs, asked, 50)
+    assert sorted(r[0] for r in rows(fresh, "id")) == [6, 7]
+    assert rows(fresh, "account_id", "status", "filename", "total", "created_at") == [(7, "queued", "a.csv", 0, 50), (8, "queued", "b.txt", 0, 50)]
+    outcomes = spark.createDataFrame([(4, "extracted", 3, None), (5, "deferred", 0, None), (1, "extracted", 9, None), (3, "failed", 0, "x")],
+                                     "job_id long, outcome string, rows long, message string")
+    after = uploads.apply_extraction(jobs, outcomes, 60)
+    assert rows(after, "id", "status", "total", "error_message") == [(1, "processing", 0, None), (2, "processing", 0, None), (3, "done", 0, None),
+                                                                    (4, "processing", 3, None), (5, "paused", 0, None)]
+    failed = uploads.apply_extraction(after, spark.createDataFrame([(5, "no_match", 0, "inget")], "job_id long, outcome string, rows long, message string"), 70)
+    assert rows(failed.filter("id = 5"), "status", "error_message", "updated_at") == [("error", "inget", 70)]

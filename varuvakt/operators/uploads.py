@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varuvakt.functions.text import csv_cell
-from varuvakt.operators.merge import prefixed, update_existing, upsert
+from varuvakt.operators.merge import prefixed, update_existing, upsert, with_new_ids
 
 ROW_KEY = ["job_id", "row_index"]
 JOBS_PER_ACCOUNT = 200
@@ -33,6 +33,45 @@ def job_list(jobs: DataFrame, limit: int = JOBS_PER_ACCOUNT) -> DataFrame:
     )
 
 
+def queue_uploads(jobs: DataFrame, uploads: DataFrame, now_ms: int) -> DataFrame:
+    """New queued jobs for accepted files (account_id, path, filename, options, custom_direction)."""
+    stamp = F.lit(now_ms).cast("long")
+    given = {c: F.col(c) for c in ("account_id", "filename", "options", "custom_direction")}
+    set_values = {"status": F.lit("queued"), "total": F.lit(0), "succeeded": F.lit(0), "created_at": stamp, "updated_at": stamp}
+    values = given | set_values
+    fresh = uploads.select(
+        "path",
+        *[
+            values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in jobs.schema
+            if f.name != "id"
+        ],
+    )
+    return with_new_ids(fresh, jobs, "id", ["path"]).select(*jobs.columns)
+
+
+def apply_extraction(jobs: DataFrame, outcomes: DataFrame, now_ms: int) -> DataFrame:
+    """Job table after extraction outcomes (job_id, outcome, rows, message).
+
+    ``extracted`` moves a job on to processing with its row count, ``deferred``
+    (quota ended) pauses it, anything else is an error with its message. A job
+    that has been extracted before keeps its state.
+    """
+    changes = prefixed(outcomes.withColumnRenamed("job_id", "id"), ["id"])
+    waiting = F.col("status").isin("queued", "paused")
+    outcome = F.col("new_outcome")
+    status = F.when(outcome == "extracted", "processing").when(outcome == "deferred", "paused").otherwise("error")
+    values = {
+        "status": status,
+        "total": F.when(outcome == "extracted", F.col("new_rows")).otherwise(F.col("total")),
+        "error_message": F.when(status == "error", F.col("new_message")).otherwise(F.col("error_message")),
+        "updated_at": F.lit(now_ms),
+    }
+    return update_existing(
+        jobs, changes, ["id"], {c: F.when(waiting, v).otherwise(F.col(c)) for c, v in values.items()}
+    )
+
+
 def pending_rows(rows: DataFrame, results: DataFrame) -> DataFrame:
     """Rows without a result yet."""
     return rows.join(results.select(*ROW_KEY), ROW_KEY, "left_anti")

@@ -253,9 +253,6 @@ def _ingest_products(fx: Fixture) -> DataFrame:
     return catalogue.ingest_products(fx.products, arrived, NOW_MS).select(*PRODUCT_COLS)
 
 
-PAGE_SITES = """SELECT page_id, url, html, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site FROM pages"""
-
-
 @query(
     "page_links",
     """WITH found AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hrefs FROM pages),

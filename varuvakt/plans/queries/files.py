@@ -104,6 +104,47 @@ def _upload_manifest(fx: Fixture) -> DataFrame:
     return files.upload_manifest(fx.spark.sql(sql, documents=fx.documents))
 
 
+@query(
+    "upload_jobs",
+    f"""WITH accepted AS (SELECT path, split_part(path, '/', 2) AS filename, length FROM ({MANIFEST.replace('{s}', 'varchar')})
+ WHERE regexp_matches(lower(path), '\\.(csv|docx|pdf|txt|xlsx)$') AND length <= 52428800)
+SELECT (SELECT max(id) FROM jobs) + row_number() OVER (ORDER BY BUCKET(path), path) AS id, length % 7 AS account_id, 'queued' AS status,
+ filename, 0::bigint AS total, {{now}} AS created_at FROM accepted""",
+)
+def _upload_jobs(fx: Fixture) -> DataFrame:
+    sql = MANIFEST.replace("{s}", "string").replace("FROM documents", "FROM {documents}")
+    manifest = files.upload_manifest(fx.spark.sql(sql, documents=fx.documents))
+    options = F.struct(*[F.lit("").alias(c) for c in ("tone", "length", "audience")])
+    accepted = manifest.filter("status = 'queued'").select(
+        (F.col("length") % 7).alias("account_id"),
+        "path",
+        F.element_at(F.split("path", "/"), -1).alias("filename"),
+        options.alias("options"),
+        F.lit("").alias("custom_direction"),
+    )
+    fresh = uploads.queue_uploads(fx.jobs, accepted, NOW_MS)
+    return fresh.select("id", "account_id", "status", "filename", "total", "created_at")
+
+
+OUTCOMES = """
+SELECT job_id, CASE job_id % 3 WHEN 0 THEN 'extracted' WHEN 1 THEN 'deferred' ELSE 'no_products' END AS outcome, count(*) AS rows,
+ CASE WHEN job_id % 3 = 2 THEN concat('inga produkter i ', cast(job_id AS {s})) ELSE NULL END AS message FROM upload_rows GROUP BY job_id"""
+
+
+@query(
+    "apply_extraction",
+    f"""WITH outcomes AS ({OUTCOMES.replace('{s}', 'varchar')}),
+joined AS (SELECT j.*, o.outcome, o.rows, o.message, o.job_id IS NOT NULL AND j.status IN ('queued', 'paused') AS moved FROM jobs j LEFT JOIN outcomes o ON o.job_id = j.id)
+SELECT id, CASE WHEN NOT moved THEN status WHEN outcome = 'extracted' THEN 'processing' WHEN outcome = 'deferred' THEN 'paused' ELSE 'error' END AS status,
+ CASE WHEN moved AND outcome = 'extracted' THEN rows ELSE total END AS total, CASE WHEN moved THEN message END AS error_message,
+ CASE WHEN moved THEN {{now}} ELSE updated_at END AS updated_at FROM joined""",
+)
+def _apply_extraction(fx: Fixture) -> DataFrame:
+    sql = OUTCOMES.replace("{s}", "string").replace("FROM upload_rows", "FROM {rows}")
+    outcomes = fx.spark.sql(sql, rows=fx.upload_rows)
+    return uploads.apply_extraction(fx.jobs, outcomes, NOW_MS).select("id", "status", "total", "error_message", "updated_at")
+
+
 @query(
     "job_list",
     """SELECT account_id, row_number() OVER (PARTITION BY account_id ORDER BY created_at DESC, id DESC) AS rank, id, status, filename,

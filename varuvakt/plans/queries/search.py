@@ -113,17 +113,17 @@ SELECT event_id AS request_id,
   WHEN 1 THEN concat('  https://shop', cast(user_id % 10 AS {s}), '.example/p/', cast(user_id AS {s}), ' ')
   WHEN 2 THEN '  ' WHEN 3 THEN 'https://okänd.example/' ELSE NULL END AS url,
  CASE event_id % 3 WHEN 0 THEN user_id WHEN 1 THEN user_id + 1000000 ELSE NULL END AS id,
- event_id % 7 = 0 AS refresh FROM events"""
+ event_id % 7 = 0 AS refresh, event_id % 11 <> 0 AS may_generate FROM events"""
 
 
 @query(
     "describe_requests",
-    f"""WITH asked AS (SELECT request_id, nullif(TRIM(url), '') AS url, CASE WHEN id > 0 THEN id END AS id, refresh
+    f"""WITH asked AS (SELECT request_id, nullif(TRIM(url), '') AS url, CASE WHEN id > 0 THEN id END AS id, refresh, may_generate
   FROM ({REQUESTS.replace('{s}', 'varchar')})),
 looked AS (SELECT a.*, p.id AS pid, p.description, p.description_why FROM asked a LEFT JOIN products p
   ON (a.id IS NULL AND p.url = a.url) OR (a.url IS NULL AND p.id = a.id)),
 judged AS (SELECT *, CASE WHEN (url IS NULL) = (id IS NULL) THEN 'bad_request' WHEN pid IS NULL THEN 'not_found'
-  WHEN coalesce(description, '') <> '' AND NOT refresh THEN 'cached' ELSE 'generate' END AS status FROM looked)
+  WHEN coalesce(description, '') <> '' AND NOT refresh THEN 'cached' WHEN may_generate THEN 'generate' ELSE 'forbidden' END AS status FROM looked)
 SELECT request_id, CASE WHEN status = 'bad_request' THEN NULL ELSE pid END AS product_id, status,
  CASE WHEN status = 'cached' THEN description END AS beskrivning,
  CASE WHEN status = 'cached' THEN coalesce(description_why, '') END AS varfor FROM judged""",

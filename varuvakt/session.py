@@ -17,8 +17,6 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Uploaded files come one per row and may be large, so Arrow batches are bounded by size, too.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(128 * 1024 * 1024),
 }
 
 
