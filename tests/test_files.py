@@ -139,3 +139,7 @@ def test_uploads_become_jobs_and_move_on(spark, rows):
                                                                     (4, "processing", 3, None), (5, "paused", 0, None)]
     failed = uploads.apply_extraction(after, spark.createDataFrame([(5, "no_match", 0, "inget")], "job_id long, outcome string, rows long, message string"), 70)
     assert rows(failed.filter("id = 5"), "status", "error_message", "updated_at") == [("error", "inget", 70)]
+
+
+def test_arrow_locations():
+    assert [exports.arrow_uri(u) for u in ("/a/b", "file:/a", "file:///a", "s3a://b/c", "hdfs://n/a")] == ["/a/b", "/a", "/a", "s3://b/c", "hdfs://n/a"]

@@ -99,7 +99,7 @@ pieces AS (SELECT doc_id, unnest(generate_series(0, greatest(ceil(length(text) /
 cut AS (SELECT doc_id, part, string_split(substr(text, part * {EXTRACT_WINDOW} + 1, {EXTRACT_WINDOW}), chr(10)) AS lines FROM pieces),
 listed AS (SELECT doc_id, part, generate_subscripts(lines, 1) AS line_no, TRIM(unnest(lines)) AS product FROM cut)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, line_no) - 1 AS row_index, split_part(product, ' ', 1) AS site, product,
- length(product)::varchar AS price, '' AS link, NULL AS error FROM listed WHERE product <> ''""",
+ length(product)::varchar AS price, '' AS link, NULL::varchar AS error FROM listed WHERE product <> ''""",
 )
 def _extract_with(fx: Fixture) -> DataFrame:
     docs, calls = fx.documents.select("doc_id", "text"), fx.spark.sparkContext.defaultParallelism

@@ -59,6 +59,15 @@ def job_files(lines: DataFrame) -> DataFrame:
     )
 
 
+def arrow_uri(location: str) -> str:
+    """A Spark location as Arrow's file systems spell it."""
+    if location.startswith("s3a://"):
+        return "s3://" + location.removeprefix("s3a://")
+    if location.startswith("file:/"):
+        return "/" + location.removeprefix("file:").lstrip("/")
+    return location
+
+
 def write_job_files(files: DataFrame, location: str) -> DataFrame:
     """Write ``<location>/<job_id>_med_beskrivning.csv`` per job; returns (job_id, path, bytes) when run.
 
@@ -68,7 +77,7 @@ def write_job_files(files: DataFrame, location: str) -> DataFrame:
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, root = fs.FileSystem.from_uri(location)
+        filesystem, root = fs.FileSystem.from_uri(arrow_uri(location))
         filesystem.create_dir(root, recursive=True)
         for batch in batches:
             paths, sizes = [], []
