@@ -19,6 +19,7 @@ KEY_PATTERN = (
     r"sk-[A-Za-z0-9]{16,}|ghp_[A-Za-z0-9]{20,}|gho_[A-Za-z0-9]{20,}"
     r"|AKIA[A-Z0-9]{12,}|Bearer\s+[A-Za-z0-9._-]{10,}"
 )
+KEY_STARTS = ("sk-", "ghp_", "gho_", "AKIA", "Bearer")
 EMAIL_PATTERN = r"[\w.+-]{1,64}@[\w.-]{1,255}\.\w{2,24}"
 HOME_PATTERN = r"/home/[^/\s]+"
 SECRET_NAME_PARTS = ("KEY", "TOKEN", "SECRET", "PASSWORD", "PASS")
@@ -93,7 +94,17 @@ def redact(col: Column | str, settings: dict[str, str] | None = None) -> Column:
     out = F.col(col) if isinstance(col, str) else col
     for value in secret_values(settings or {}):
         out = F.replace(out, F.lit(value), F.lit("[REDACTED]"))
-    out = F.regexp_replace(out, KEY_PATTERN, "[REDACTED]")
-    # Most texts hold no address or path; a plain search is far cheaper than the patterns.
-    out = F.when(F.contains(out, F.lit("@")), F.regexp_replace(out, EMAIL_PATTERN, "[EMAIL REDACTED]")).otherwise(out)
-    return F.when(F.contains(out, F.lit("/home/")), F.regexp_replace(out, HOME_PATTERN, "/home/[user]")).otherwise(out)
+    out = _replace_where(out, KEY_STARTS, KEY_PATTERN, "[REDACTED]")
+    out = _replace_where(out, ("@",), EMAIL_PATTERN, "[EMAIL REDACTED]")
+    return _replace_where(out, ("/home/",), HOME_PATTERN, "/home/[user]")
+
+
+def _replace_where(col: Column, parts: tuple[str, ...], pattern: str, replacement: str) -> Column:
+    """``regexp_replace`` on texts holding one of the parts every match has.
+
+    Most texts hold none, and a plain search is far cheaper than the pattern.
+    """
+    present = F.contains(col, F.lit(parts[0]))
+    for part in parts[1:]:
+        present = present | F.contains(col, F.lit(part))
+    return F.when(present, F.regexp_replace(col, pattern, replacement)).otherwise(col)
