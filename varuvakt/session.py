@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,13 +37,15 @@ def apply_settings(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder for data that several executors write and read.
+    """A new folder for data that several executors write and read, under ``spark.checkpoint.dir``.
 
-    On a cluster it lies under ``spark.checkpoint.dir``; only where that is
-    unset (tests, local runs) is a machine-local folder used.
+    Only a local master, where driver and executors are one process, may leave
+    the setting out; a temporary folder is used then.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="varuvakt-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
