@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def sliced(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text")
 
 
 def split_long(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))).to_pylist()
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text))).to_pylist()
     start = held = 0
     for row, size in enumerate(sizes):
         if row > start and (row - start >= SLICE_ROWS or held + (size or 0) > SLICE_BYTES):

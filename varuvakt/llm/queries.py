@@ -16,3 +16,10 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varuvakt.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
+@register("op2_simhash")
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varuvakt.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
