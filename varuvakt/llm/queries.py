@@ -23,3 +23,27 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varuvakt.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op4_topk",
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+ CAST(list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+ FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+)
+def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varuvakt.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register("op10_urls")
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varuvakt.llm.urlfilter import verdicts
+
+    return verdicts(table(spark, sf_dir, "pages"))
