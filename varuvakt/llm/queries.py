@@ -47,3 +47,26 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varuvakt.llm.urlfilter import verdicts
 
     return verdicts(table(spark, sf_dir, "pages"))
+
+
+@register("op7_secrets")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varuvakt.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@register("op9_licenses")
+def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varuvakt.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@register("op1_sentencepiece")
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from varuvakt.llm.sentencepiece import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
