@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varuvakt.llm.common import ascii_lower, texts_of
-from varuvakt.llm.spans import match_spans
+from varuvakt.llm.spans import bound, match_spans
 
 #: Fixed table of families: label, keyword, expression of the name.
 FAMILIES = (
@@ -131,7 +131,7 @@ def scan(docs: DataFrame) -> DataFrame:
     # ASCII letters only are folded where positions and words count.
     folded = ascii_lower(F.col("text"))
     rows = rows.withColumn("folded", F.when(gate, folded).otherwise(F.lit("")))
-    places = F.when(F.contains("folded", F.lit("license")), phrase_places(F.regexp_extract_all("folded", F.lit(WORD), F.lit(0)))).otherwise(F.array().cast(PLACES))
+    places = F.when(F.contains("folded", F.lit("license")), bound(F.regexp_extract_all("folded", F.lit(WORD), F.lit(0)), phrase_places)).otherwise(F.array().cast(PLACES))
     kept = F.when(F.col("folded") != "", detections(F.col("folded"))).otherwise(F.array().cast(DETECTION))
     rows = rows.select("doc_id", "n_words", places.alias("places"), kept.alias("kept"))
     at = F.transform("places", lambda p: p["at"].cast("long"))

@@ -70,3 +70,24 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varuvakt.llm.sentencepiece import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op5_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varuvakt.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+@register("op6_hmm")
+def hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varuvakt.llm.hmm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+@register("op3_fingerprints")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varuvakt.llm.fingerprint import fingerprints as operator
+
+    return operator(table(spark, sf_dir, "documents"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMPTY = "array<struct<start:int,end:int,match:string>>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` needs it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def no_spans() -> Column:
     return F.array().cast(EMPTY)
 
