@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varuvakt.session import written
 
-__all__ = ["ascii_lower", "texts_of", "sliced", "stored", "split_long"]
+__all__ = ["ascii_lower", "columns_of", "fresh", "texts_of", "sliced", "stored", "split_long"]
 
 #: Rows that one step of a Python task works on at a time.
 SLICE_ROWS = 256
@@ -32,6 +32,18 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with so many underscores before it that no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns_of(names: list[str]) -> list[Column]:
+    return [F.col("`{}`".format(name.replace("`", "``"))) for name in names]
+
+
 def sliced(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: hands ``work`` short pieces of each batch, cut by rows and by bytes of ``text``."""
 

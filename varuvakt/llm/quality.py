@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varuvakt.llm.common import sliced, stored, texts_of
+from varuvakt.llm.common import fresh, sliced, stored, texts_of
 
 LABELLERS = ("shouting", "signs", "repeats", "marked_words", "columns", "sentences", "word_length", "letters")
 GOOD, BAD, NONE = 2, 1, 0
@@ -225,5 +225,6 @@ def _trained(texts: DataFrame, picked: DataFrame, posterior: dict[int, float]) -
 
 def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Rows of ``docs`` that the scorer keeps; of rows that share a doc_id all go if one goes. Rows without doc_id stay."""
-    rejected = stored(judge(docs, sample).where("NOT keep AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__rejected")).distinct(), "rejected")
-    return docs.join(rejected, F.col("doc_id").cast("long") == F.col("__rejected"), "left_anti")
+    name = fresh(docs, "rejected")
+    rejected = stored(judge(docs, sample).where("NOT keep AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct(), "rejected")
+    return docs.join(rejected, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -20,7 +20,7 @@ import re._parser as expressions
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varuvakt.llm.common import stored, texts_of
+from varuvakt.llm.common import columns_of, fresh, stored, texts_of
 from varuvakt.llm.spans import match_spans, no_spans
 
 #: Fixed rules: kind, expression, group whose length counts, least length. The first three are the base.
@@ -102,12 +102,13 @@ def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> Da
     return met.where("n = need").groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("rules"))
 
 
-def with_spans(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``docs`` with a column __spans: per rule an array of struct(start, end, match), in the rules' order."""
+def with_spans(docs: DataFrame, name: str, rules=RULES) -> DataFrame:
+    """``docs`` with a further column: per rule an array of struct(start, end, match), in the rules' order."""
     queries = {r: query for r, (_, pattern, _, _) in enumerate(rules) if (query := trigram_query(pattern))}
     grams = sorted({g for query in queries.values() for clause in query for g in clause})
-    found = stored(candidates(trigram_index(docs, grams), queries).withColumnRenamed("doc_id", "__id"), "secret-candidates")
-    joined = docs.join(found.withColumnRenamed("rules", "__rules"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    key, held = fresh(docs, "candidate"), fresh(docs, "held")
+    found = stored(candidates(trigram_index(docs, grams), queries).select(F.col("doc_id").alias(key), F.col("rules").alias(held)), "secret-candidates")
+    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
     text = F.coalesce("text", F.lit(""))
 
     def spans(r: int) -> Column:
@@ -117,9 +118,9 @@ def with_spans(docs: DataFrame, rules=RULES) -> DataFrame:
             every = F.filter(every, lambda s: F.length(F.regexp_extract(s["match"], pattern, group)) >= least)
         if r not in queries:
             return F.when(F.regexp_like(text, F.lit(pattern)), every).otherwise(no_spans())
-        return F.when(F.col("__rules").bitwiseAND(F.lit(1 << r)) != 0, every).otherwise(no_spans())
+        return F.when(F.col(held).bitwiseAND(F.lit(1 << r)) != 0, every).otherwise(no_spans())
 
-    return joined.withColumn("__spans", F.array(*map(spans, range(len(rules))))).drop("__id", "__rules")
+    return joined.withColumn(name, F.array(*map(spans, range(len(rules))))).drop(key, held)
 
 
 def listed(spans: Column, rules) -> Column:
@@ -131,16 +132,17 @@ def listed(spans: Column, rules) -> Column:
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    rows = with_spans(texts_of(docs), rules)
-    counts = [F.size(F.get("__spans", F.lit(r))).cast("long").alias(f"n_{rules[r][0]}") for r in range(BASE)]
-    base = listed(F.slice("__spans", 1, BASE), rules)
-    return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), listed(F.col("__spans"), rules).alias("spans"))
+    rows = with_spans(texts_of(docs), "found", rules)
+    counts = [F.size(F.get("found", F.lit(r))).cast("long").alias(f"n_{rules[r][0]}") for r in range(BASE)]
+    base = listed(F.slice("found", 1, BASE), rules)
+    return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), listed(F.col("found"), rules).alias("spans"))
 
 
 def redact(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` with every span in ``text`` replaced; ``n_chars``, where it is there and known, counts the new text."""
     columns = docs.columns
-    flat = F.array_sort(F.transform(F.flatten("__spans"), lambda s: F.struct(s["start"], s["end"])))
+    spans = fresh(docs, "spans")
+    flat = F.array_sort(F.transform(F.flatten(spans), lambda s: F.struct(s["start"], s["end"])))
 
     def step(acc: Column, s: Column) -> Column:
         between = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
@@ -149,10 +151,10 @@ def redact(docs: DataFrame, rules=RULES) -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(flat, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    rows = with_spans(docs, rules)
-    rows = rows.withColumn("__found", F.size(F.flatten("__spans")) > 0)
-    rows = rows.withColumn("text", F.when(F.col("__found"), clean).otherwise(F.col("text")))
+    rows = with_spans(docs, spans, rules)
+    found = F.size(F.flatten(spans)) > 0
+    changed = {"text": F.when(found, clean).otherwise(F.col("text"))}
     if "n_chars" in columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        rows = rows.withColumn("n_chars", F.when(F.col("__found") & F.col("n_chars").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+        counted = F.length(clean).cast(dict(docs.dtypes)["n_chars"])
+        changed["n_chars"] = F.when(found & F.col("n_chars").isNotNull(), counted).otherwise(F.col("n_chars"))
+    return rows.withColumns(changed).select(*columns_of(columns))

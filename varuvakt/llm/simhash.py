@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varuvakt.llm.common import sliced, stored, texts_of
+from varuvakt.llm.common import fresh, sliced, stored, texts_of
 from varuvakt.llm.components import components
 
 RADIUS = 3
@@ -97,10 +97,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of rows with the same doc_id the one with the smallest text stays; rows without doc_id stay as they are.
     """
-    keepers = stored(near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "keepers")
-    ranked = docs.join(keepers.withColumnRenamed("doc_id", "__keeper"), F.col("doc_id").cast("long") == F.col("__keeper"), "left_semi")
-    first = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return first.where("__rank = 1").drop("__rank").unionByName(docs.where(F.col("doc_id").isNull()))
+    keeper, rank = fresh(docs, "keeper"), fresh(docs, "rank")
+    keepers = stored(near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias(keeper)).distinct(), "keepers")
+    ranked = docs.join(keepers, F.col("doc_id").cast("long") == F.col(keeper), "left_semi")
+    first = ranked.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(rank) == 1).drop(rank)
+    return first.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def links(nodes: DataFrame) -> DataFrame:
