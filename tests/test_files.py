@@ -1,5 +1,8 @@
 import glob
+import io
 import random
+import time
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -143,3 +146,38 @@ def test_uploads_become_jobs_and_move_on(spark, rows):
 
 def test_arrow_locations():
     assert [exports.arrow_uri(u) for u in ("/a/b", "file:/a", "file:///a", "s3a://b/c", "hdfs://n/a")] == ["/a/b", "/a", "/a", "s3://b/c", "hdfs://n/a"]
+
+
+def test_many_doubled_quotes_and_nul(spark):
+    cell = '"' + '""' * 200_000 + '"'
+    df = spark.createDataFrame([(f"{cell},x",), ('"a\x00b",c',)], "line string")
+    started = time.time()
+    got = [r.cells for r in df.select(files._split_line(F.col("line")).alias("cells")).collect()]
+    assert got == [['"' * 200_000, "x"], ["a\x00b", "c"]] and time.time() - started < 30
+
+
+def test_broken_and_large_files_have_an_error(spark, tmp_path):
+    good = workbook([[["A"], ["1"]]])
+    df = uploaded(spark, tmp_path, ok__xlsx=good, bad__xlsx=b"PK not a workbook", bad__docx=b"x", ok__docx=document(["ett"]))
+    headers, rows = files.xlsx_rows(df)
+    assert stems(headers, "fieldnames", "error") == [("bad.xlsx", [], "unreadable"), ("ok.xlsx", ["A"], None)]
+    assert stems(rows, "cells") == [("ok.xlsx", ["1"])]
+    assert stems(files.text_docs(df), "text", "error") == [("bad.docx", None, "unreadable"), ("ok.docx", "ett\n\n", None)]
+    big = spark.createDataFrame([(f"x/a.{k}", files.MAX_UPLOAD_BYTES + 1, bytearray(b"a")) for k in ("csv", "xlsx", "txt", "docx")], "path string, length long, content binary")
+    assert [stems(h, "fieldnames", "error") for h in (files.csv_rows(big)[0], files.xlsx_rows(big)[0])] == [[("a.csv", [], "too_large")], [("a.xlsx", [], "too_large")]]
+    assert stems(files.text_docs(big), "text", "error") == [("a.docx", None, "too_large"), ("a.txt", None, "too_large")]
+    assert files.csv_rows(big)[1].count() == files.xlsx_rows(big)[1].count() == 0
+
+
+def test_nested_paragraphs_stand_once():
+    ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    inner = "<w:p><w:r><w:t>INRE</w:t></w:r></w:p>"
+    body = f'<w:document xmlns:w="{ns}"><w:body><w:p><w:r><w:t>yttre</w:t>{inner}</w:r></w:p></w:body></w:document>'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as doc:
+        doc.writestr("word/document.xml", body)
+    assert files._paragraphs(data.getvalue()) == "yttreINRE\n\n\n\n"
+
+
+def test_cell_numbers():
+    assert [files._number_text(x) for x in (10.0, 1.5, 0.00005, 1e-7, 1e21, -0.25)] == ["10", "1.5", "0.00005", "1e-7", "1e+21", "-0.25"]

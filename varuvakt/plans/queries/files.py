@@ -83,7 +83,7 @@ def _text_docs(fx: Fixture) -> DataFrame:
     named = fx.documents.selectExpr(
         "concat('docs/', cast(doc_id AS string), CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.docx' END) AS path", "text"
     )
-    return files.text_docs(named.mapInPandas(build, "path string, length long, content binary"))
+    return files.text_docs(named.mapInPandas(build, "path string, length long, content binary")).select("path", "text")
 
 
 MANIFEST = """

@@ -1,8 +1,8 @@
 """Uploaded files as tables.
 
 Everything here takes a DataFrame shaped like Spark's ``binaryFile`` source
-(path, length, content). A file larger than the upload cap never becomes a job,
-so one file is at most 50 MiB and fits one row; parallelism is over files.
+(path, length, content). A file larger than the upload cap is refused with an
+error, so one file is at most 50 MiB and fits one row; parallelism is over files.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from decimal import Decimal
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 SUFFIXES = (".csv", ".docx", ".pdf", ".txt", ".xlsx")
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 ROW_FIELDS = ("Site", "Product", "Price (SEK)", "Link")
+#: An office file that unpacks past this is not read.
+MAX_UNPACKED_BYTES = 512 * 1024 * 1024
+TOO_LARGE, UNREADABLE = "too_large", "unreadable"
 
-ROWS_SCHEMA = "path string, fieldnames array<string>, rows array<array<string>>"
+ROWS_SCHEMA = "path string, fieldnames array<string>, rows array<array<string>>, error string"
 
 
 def read_uploads(spark: SparkSession, location: str) -> DataFrame:
@@ -49,7 +53,11 @@ def upload_manifest(files: DataFrame) -> DataFrame:
 
 
 def accepted(files: DataFrame, *suffixes: str) -> DataFrame:
-    return files.filter(suffix_of(F.col("path")).isin(*suffixes) & (F.col("length") <= MAX_UPLOAD_BYTES))
+    """``(path, content, error)`` of the files of these kinds; one past the upload cap keeps its row, without content."""
+    too_large = F.coalesce(F.col("length") > MAX_UPLOAD_BYTES, F.lit(False))
+    return files.filter(suffix_of(F.col("path")).isin(*suffixes)).select(
+        "path", F.when(~too_large, F.col("content")).alias("content"), F.when(too_large, TOO_LARGE).alias("error")
+    )
 
 
 def decode_utf8(content: Column) -> Column:
@@ -64,30 +72,23 @@ def _split_line(line: Column) -> Column:
     cells = F.regexp_extract_all(
         F.concat(F.lit(","), line), F.lit(rf',((?:[^",]++|{segment})*+)'), 1
     )
-    # Inside quotes a doubled quote is one quote; it is parked on NUL while the
-    # enclosing quotes are taken off.
-    return F.transform(
-        cells,
-        lambda c: F.when(~F.contains(c, F.lit('"')), c).otherwise(F.replace(_park(c), F.lit("\u0000"), F.lit('"'))),
-    )
+    return F.transform(cells, lambda c: F.when(~F.contains(c, F.lit('"')), c).otherwise(_unquoted(c)))
 
 
-def _park(cell: Column) -> Column:
-    """Mark doubled quotes that stand inside quoting with NUL.
+def _unquoted(cell: Column) -> Column:
+    """A cell without its enclosing quotes; a doubled quote inside quoting is one quote.
 
     Walking a cell, segments alternate: outside, quoted, outside ... Splitting on
     the quote character, an empty piece at an even position between two quoted
     pieces means the quotes touched, that is, an escaped quote.
     """
-    pieces = F.split(cell, '"', -1)
-    last = F.size(pieces) - 1
-    return F.array_join(
-        F.transform(
-            pieces,
-            lambda p, i: F.when((i % 2 == 0) & (i > 0) & (i < last) & (p == ""), F.lit("\u0000")).otherwise(p),
-        ),
-        "",
-    )
+
+    def joined(pieces: Column) -> Column:
+        touched = lambda p, i: (i % 2 == 0) & (i > 0) & (i < F.size(pieces) - 1) & (p == "")
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(touched(p, i), F.lit('"')).otherwise(p)), "")
+
+    # The pieces are a lambda's variable, so the cell is split once and not once per piece.
+    return F.get(F.transform(F.array(F.split(cell, '"', -1)), joined), F.lit(0))
 
 
 def csv_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,9 +100,10 @@ def csv_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     text = decode_utf8(F.col("content"))
     lines = F.filter(F.split(text, "\r?\n", -1), lambda line: line != "")
-    parsed = accepted(files, ".csv").select("path", F.transform(lines, _split_line).alias("_cells"))
+    parsed = accepted(files, ".csv").select("path", "error", F.transform(lines, _split_line).alias("_cells"))
     named = parsed.select(
         "path",
+        "error",
         F.coalesce(F.get("_cells", F.lit(0)), F.array().cast("array<string>")).alias("fieldnames"),
         F.when(F.size("_cells") > 1, F.slice("_cells", F.lit(2), F.size("_cells") - 1)).alias("rows"),
     )
@@ -109,18 +111,17 @@ def csv_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _headers_and_rows(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Headers (path, fieldnames, error: why a file gives no rows) and rows (path, row_index, cells)."""
     width = F.size("fieldnames")
-    cells = F.transform(
-        "fieldnames",
-        lambda name: F.coalesce(
-            F.get("values", width - F.array_position(F.reverse("fieldnames"), name).cast("int")), F.lit("")
-        ),
-    )
+    # Where each field's value stands is found once per file, before its rows are unfolded.
+    places = F.transform("fieldnames", lambda name: width - F.array_position(F.reverse("fieldnames"), name).cast("int"))
+    cells = F.transform("places", lambda at: F.coalesce(F.get("values", at), F.lit("")))
     rows = (
-        named.select("path", "fieldnames", F.posexplode("rows").alias("row_index", "values"))
-        .select("path", F.col("row_index").cast("long").alias("row_index"), "fieldnames", cells.alias("cells"))
+        named.select("path", places.alias("places"), "rows")
+        .select("path", "places", F.posexplode("rows").alias("row_index", "values"))
+        .select("path", F.col("row_index").cast("long").alias("row_index"), cells.alias("cells"))
     )
-    return named.select("path", "fieldnames"), rows.select("path", "row_index", "cells")
+    return named.select("path", "fieldnames", "error"), rows
 
 
 def _cell_text(cell: ElementTree.Element, ns: str, shared: list[str]) -> str | None:
@@ -135,11 +136,19 @@ def _cell_text(cell: ElementTree.Element, ns: str, shared: list[str]) -> str | N
     if kind == "b":
         return "true" if value == "1" else "false"
     if kind == "n":
-        number = float(value)
-        return str(int(number)) if number.is_integer() and abs(number) < 1e21 else repr(number)
+        return _number_text(float(value))
     return value
 
 
+def _number_text(number: float) -> str:
+    """A number without needless fraction, and without exponent between 1e-6 and 1e21."""
+    if number.is_integer() and abs(number) < 1e21:
+        return str(int(number))
+    if 1e-6 <= abs(number) < 1e21:
+        return format(Decimal(repr(number)), "f")
+    return re.sub(r"e([+-])0+(?=\d)", r"e\1", repr(number))
+
+
 def _column_number(ref: str) -> int:
     n = 0
     for ch in re.match(r"[A-Z]+", ref).group():
@@ -149,7 +158,7 @@ def _column_number(ref: str) -> int:
 
 def _first_sheet(content: bytes) -> tuple[list[str], list[list[str]]]:
     """Header and rows of a workbook's first sheet, cells as text, empty rows left out."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+    with _archive(content) as book:
         names = book.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
@@ -181,44 +190,86 @@ def _first_sheet(content: bytes) -> tuple[list[str], list[list[str]]]:
     return table[0], table[1:]
 
 
+def _archive(content: bytes) -> zipfile.ZipFile:
+    """An office file's archive; one that would unpack past MAX_UNPACKED_BYTES is refused."""
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    if sum(entry.file_size for entry in archive.infolist()) > MAX_UNPACKED_BYTES:
+        raise OverflowError("unpacks past the bound")
+    return archive
+
+
+def _guarded(parse: Callable[[bytes], object], contents: Iterable[bytes | None], errors: Iterable[str | None]) -> list[tuple]:
+    """``(result, error)`` per file, so that a broken file ends neither the task nor the files beside it."""
+    out = []
+    for content, error in zip(contents, errors):
+        if content is None:
+            out.append((None, error or UNREADABLE))
+            continue
+        try:
+            out.append((parse(content), None))
+        except OverflowError:
+            out.append((None, TOO_LARGE))
+        except Exception:  # noqa: BLE001 - whatever is wrong with an uploaded file is that file's outcome
+            out.append((None, UNREADABLE))
+    return out
+
+
 def xlsx_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(headers, rows)`` of the first sheet of workbooks."""
+    """``(headers, rows)`` of the first sheet of workbooks; a refused or broken one has an ``error`` and no fields."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parsed = [_first_sheet(content) for content in batch["content"]]
+            parsed = _guarded(_first_sheet, batch["content"], batch["error"])
+            sheets = [sheet or ([], []) for sheet, _ in parsed]
             yield pd.DataFrame(
-                {"path": batch["path"], "fieldnames": [p[0] for p in parsed], "rows": [p[1] for p in parsed]}
+                {
+                    "path": batch["path"].to_numpy(),
+                    "fieldnames": [s[0] for s in sheets],
+                    "rows": [s[1] for s in sheets],
+                    "error": pd.Series([error for _, error in parsed], dtype=object),
+                }
             )
 
-    books = accepted(files, ".xlsx").select("path", "content")
-    return _headers_and_rows(books.mapInPandas(parse, ROWS_SCHEMA))
+    return _headers_and_rows(accepted(files, ".xlsx").mapInPandas(parse, ROWS_SCHEMA))
 
 
 def _paragraphs(content: bytes) -> str:
-    """Raw text of a word-processor document: every paragraph followed by an empty line."""
-    with zipfile.ZipFile(io.BytesIO(content)) as doc:
+    """Raw text of a word-processor document: every paragraph followed by an empty line.
+
+    A paragraph inside another (a text box) stands once, at its place in the outer
+    one. Of content stored in two forms for newer and older readers the older is taken.
+    """
+    with _archive(content) as doc:
         root = ElementTree.fromstring(doc.read("word/document.xml"))
     out = []
-    for paragraph in root.iter():
-        if not paragraph.tag.endswith("}p"):
-            continue
-        for part in paragraph.iter():
-            if part.tag.endswith("}t"):
-                out.append(part.text or "")
-            elif part.tag.endswith("}tab") and not part.attrib:
-                out.append("\t")
-        out.append("\n\n")
+
+    def walk(element: ElementTree.Element) -> None:
+        name = element.tag.rpartition("}")[2]
+        if name == "Choice":
+            return
+        if name == "t":
+            out.append(element.text or "")
+        elif name == "tab" and not element.attrib:
+            out.append("\t")
+        for child in element:
+            walk(child)
+        if name == "p":
+            out.append("\n\n")
+
+    for child in root:
+        walk(child)
     return "".join(out)
 
 
 def text_docs(files: DataFrame) -> DataFrame:
-    """``(path, text)`` of text and word-processor files, whole."""
-    plain = accepted(files, ".txt").select("path", decode_utf8(F.col("content")).alias("text"))
+    """``(path, text, error)`` of text and word-processor files, whole; a refused or broken file has an error and no text."""
+    plain = accepted(files, ".txt").select("path", decode_utf8(F.col("content")).alias("text"), "error")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "text": [_paragraphs(c) for c in batch["content"]]})
+            parsed = _guarded(_paragraphs, batch["content"], batch["error"])
+            texts, errors = (pd.Series([p[k] for p in parsed], dtype=object) for k in (0, 1))
+            yield pd.DataFrame({"path": batch["path"].to_numpy(), "text": texts, "error": errors})
 
-    rich = accepted(files, ".docx").select("path", "content").mapInPandas(parse, "path string, text string")
+    rich = accepted(files, ".docx").mapInPandas(parse, "path string, text string, error string")
     return plain.unionByName(rich)
