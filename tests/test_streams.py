@@ -109,3 +109,20 @@ def test_tick_sends_each_message_once(spark, rows, tmp_path, describing):
     assert rows(after.sites, "last_crawled") == [(NOW,)]
     assert rows(after.products, "id", "description") == ([(1, "b"), (2, "b")] if describing else [(1, None), (2, None)])
     assert log.read_text() == "https://s\n"
+
+
+def test_price_stream_keeps_to_the_cooldown_and_asks_the_clock(spark, tmp_path, rows):
+    from varuvakt.streaming import price_drops
+
+    hour = 3_600_000
+    store = price_drops.open_store(spark, str(tmp_path / "s"))
+    store.create({n: spark.createDataFrame([], store.schemas[n]) for n in store.schemas})
+    watch = spark.createDataFrame([(1, 7, None, 0), (2, 7, NOW - hour, 0)], "account_id long, product_id long, last_alert long, created_at long")
+    products = spark.createDataFrame([(7, "t", "u")], "id long, title string, url string")
+    channels = spark.createDataFrame([(1, 1), (2, 1)], "account_id long, enabled int")
+    clock = iter([NOW, NOW + hour, NOW + 24 * hour, NOW + 25 * hour])
+    for batch, prices in enumerate([[5000, 4000], [3000], [2000], [1000]]):
+        points = spark.createDataFrame([(7, p, 10 * batch + k) for k, p in enumerate(prices)], "product_id long, price long, ts long")
+        points = points.select(*[F.col(c).cast(t).alias(c) for c, t in (p.split(" ") for p in TABLES["price_history"].split(", "))])
+        assert price_drops.apply_points(store, watch, products, channels, points, batch, lambda: next(clock))
+    assert rows(store.read("alerts"), "account_id", "new_price") == [(1, 2000), (1, 4000), (2, 2000)]

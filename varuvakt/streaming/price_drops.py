@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from varuvakt.operators.prices import price_alerts, price_drops
 from varuvakt.schemas import TABLES
 from varuvakt.sources.snapshots import SnapshotStore
+from varuvakt.streaming.clock import Clock, read_clock
 
 ALERT_SCHEMA = (
     "account_id long, product_id long, last_alert long, title string, url string, "
@@ -15,9 +17,14 @@ ALERT_SCHEMA = (
 )
 
 
+COOLDOWN_SCHEMA = "account_id long, product_id long, last_alert long"
+WATCH_KEY = ["account_id", "product_id"]
+
+
 def open_store(spark: SparkSession, root: str) -> SnapshotStore:
-    schemas = {"price_history": TABLES["price_history"], "alerts": ALERT_SCHEMA}
-    return SnapshotStore(spark, root, schemas, {"price_history": None, "alerts": None})
+    """Points, alerts, and per watch the time of its last alert in this stream."""
+    schemas = {"price_history": TABLES["price_history"], "alerts": ALERT_SCHEMA, "cooldowns": COOLDOWN_SCHEMA}
+    return SnapshotStore(spark, root, schemas, {"price_history": None, "alerts": None, "cooldowns": WATCH_KEY})
 
 
 def apply_points(
@@ -27,19 +34,29 @@ def apply_points(
     channels: DataFrame,
     points: DataFrame,
     batch: int,
-    now_ms: int,
+    now_ms: Clock,
 ) -> bool:
-    """Append one batch of points and the alerts they raise.
+    """Append one batch of points, the alerts they raise and the cooldowns these start.
 
-    The history is narrowed to the batch's products before it is ranked.
+    The history and the watches are narrowed to the batch's products first. A
+    watch's last alert is the later of its own and the one this stream has
+    committed, so later batches keep to the cooldown.
     """
     if store.is_committed(batch):
         return False
+    now = read_clock(now_ms)
     fresh = store.stage("price_history", batch, points)
     named = fresh.select("product_id").distinct()
     history = store.read("price_history").join(named, "product_id", "left_semi").unionByName(fresh)
-    drops = price_drops(watch, history, products)
-    return store.commit(batch, {"alerts": price_alerts(drops, channels, now_ms)})
+    alerted = store.read("cooldowns").withColumnRenamed("last_alert", "_alerted")
+    asked = (
+        watch.join(named, "product_id", "left_semi")
+        .join(alerted, WATCH_KEY, "left")
+        .withColumn("last_alert", F.greatest("last_alert", "_alerted"))
+        .drop("_alerted")
+    )
+    raised = store.stage("alerts", batch, price_alerts(price_drops(asked, history, products), channels, now))
+    return store.commit(batch, {"cooldowns": raised.select(*WATCH_KEY, F.lit(now).cast("long").alias("last_alert"))})
 
 
 def stream_price_drops(
@@ -50,10 +67,13 @@ def stream_price_drops(
     products: DataFrame,
     channels: DataFrame,
     checkpoint: str,
-    now_ms: int,
+    now_ms: Clock,
     files_per_batch: int = 1,
 ) -> StreamingQuery:
-    """Consume Parquet files of price points from ``source`` until none is left."""
+    """Consume Parquet files of price points from ``source`` until none is left.
+
+    ``now_ms`` is a time or a function that is asked once per batch.
+    """
     points = spark.readStream.schema(TABLES["price_history"]).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return (
         points.writeStream.foreachBatch(
