@@ -81,29 +81,28 @@ def renamed(rows: DataFrame) -> DataFrame:
 
 
 def quote_lines(system: str, piece: str) -> str:
-    """A stand-in extractor: every line of the text is a product, its first word the shop."""
+    """A stand-in extractor: every line of the text is a product, its first word the shop; fails on every seventh length."""
     import json
 
+    if len(piece) % 7 == 0:
+        raise ValueError("no answer")
     lines = [line.strip() for line in piece.split("\n") if line.strip(" ")]
-    items = [{"Product": line, "Site": line.split(" ")[0], "Price (SEK)": len(line)} for line in lines]
+    items = [{"Product": line, "Site": line.split(" ")[0], "Price (SEK)": len(line) + 0.0} for line in lines]
     return "Produkter: " + json.dumps(items, ensure_ascii=False)
 
 
-EXTRACT_WINDOW = 1000
-
-
 @query(
     "extract_with",
-    f"""WITH trimmed AS (SELECT doc_id, TRIM(text) AS text FROM documents),
-pieces AS (SELECT doc_id, unnest(generate_series(0, greatest(ceil(length(text) / {EXTRACT_WINDOW}.0), 1)::int - 1)) AS part, text FROM trimmed),
-cut AS (SELECT doc_id, part, string_split(substr(text, part * {EXTRACT_WINDOW} + 1, {EXTRACT_WINDOW}), chr(10)) AS lines FROM pieces),
-listed AS (SELECT doc_id, part, generate_subscripts(lines, 1) AS line_no, TRIM(unnest(lines)) AS product FROM cut)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, line_no) - 1 AS row_index, split_part(product, ' ', 1) AS site, product,
- length(product)::varchar AS price, '' AS link, NULL::varchar AS error FROM listed WHERE product <> ''""",
+    """WITH trimmed AS (SELECT doc_id, TRIM(text) AS text FROM documents),
+cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM trimmed WHERE length(text) % 7 <> 0),
+listed AS (SELECT doc_id, generate_subscripts(lines, 1) AS line_no, TRIM(unnest(lines)) AS product FROM cut)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS row_index, split_part(product, ' ', 1) AS site, product,
+ length(product)::varchar AS price, '' AS link, NULL::varchar AS error FROM listed WHERE product <> ''
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN text = '' THEN 'empty' ELSE 'failed' END FROM trimmed WHERE length(text) % 7 = 0""",
 )
 def _extract_with(fx: Fixture) -> DataFrame:
     docs, calls = fx.documents.select("doc_id", "text"), fx.spark.sparkContext.defaultParallelism
-    return renamed(extract_with(docs, quote_lines, ["doc_id"], EXTRACT_WINDOW, calls))
+    return renamed(extract_with(docs, quote_lines, ["doc_id"], concurrency=calls).drop("resume_at"))
 
 
 PROVIDER_ERRORS = """
