@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from varuvakt.llm import fingerprint, hmm, licenses, packing, quality, secrets, sentencepiece, simhash, topk, urlfilter
+from varuvakt.llm import common, fingerprint, hmm, licenses, packing, quality, secrets, sentencepiece, simhash, topk, urlfilter
 
 # Names that operators use inside or return.
 EXTRA = "fingerprint string, component_id long, words string, __rank int, bucket long, __rules int, keep int"
@@ -190,6 +190,28 @@ def test_hmm_base_and_likelihood(spark, docs, texts, odd):
     assert [r["held_out"] for r in hmm.score(odd).collect()].count(True) == 1 and hmm.score(empty(spark)).count() == 0
 
 
+def test_hmm_dictionary_takes_whole_counts(spark):
+    counts = {b"w%d" % k: c for k, c in enumerate([1] * 50 + [2] * 20 + [3] * 10 + [700, 701, 5000])}
+    df = spark.createDataFrame(list(counts.items()), "word binary, c long")
+    for most, want in ((1000, 83), (83, 83), (82, 33), (33, 33), (14, 13), (12, 3), (2, 1), (0, 0)):
+        got = {bytes(r["word"]): r["c"] for r in hmm.frequent(df, most).collect()}
+        assert len(got) == want and got.items() <= counts.items() and min(got.values(), default=9**9) >= max((c for w, c in counts.items() if w not in got), default=0)
+    assert hmm.frequent(df.limit(0), 5).count() == 0
+
+
+def test_smallest_hashes_of_each_group(spark):
+    rows = [(k % 300 - 20 if k % 9 else None, k % 3, str(k)) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, side int, place string").repartition(7)
+    ranked = df.selectExpr("*", "xxhash64(id) AS h").collect()
+    for n in (0, 1, 40, 5000):
+        got = common.smallest(df, "id", n, "side").collect()
+        for side in range(3):
+            own = sorted((r["h"], r["id"] is not None, r["id"] or 0, r["place"]) for r in ranked if r["side"] == side)
+            assert sorted(r["place"] for r in got if r["side"] == side) == sorted(x[3] for x in own[:n])
+        assert common.smallest(df, "id", n).count() == min(n, 900)
+    assert common.smallest(df.limit(0), "id", 3).count() == 0
+
+
 def test_hmm_forward_is_exact():
     rng = np.random.default_rng(3)
     states = hmm.normalised(rng.random(3), rng.random((3, 3)), rng.random((hmm.CLASSES, 3)))

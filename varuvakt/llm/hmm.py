@@ -6,7 +6,7 @@ training texts: each task adds up its expected counts, the sums over tasks re-es
 exact: the scaled forward recursion is carried out as products of transfer matrices, window after window, and the in-class
 probabilities of its words come on top.
 
-Counts of the DICTIONARY most frequent words (bounded) travel with the tasks; those of all others are joined. The starting point of
+Counts of the most frequent words (at most DICTIONARY) travel with the tasks; those of all others are joined. The starting point of
 Baum-Welch comes from a bounded sample of texts; its passes cover all training texts.
 
 Cases: a null or empty text is one end token. Rows without doc_id are held out. Repeated rows count and come back one by one.
@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varuvakt.llm.common import split_long, stored, texts_of
+from varuvakt.llm.common import smallest, split_long, stored, texts_of
 
 STATES = 6
 OWN = 2048  # words that are observations of their own
 ENDINGS = 1024  # classes of all other words
-DICTIONARY = 65_536  # words whose counts travel with the tasks
+DICTIONARY = 65_536  # words whose counts travel with the tasks, at most
 WINDOW = 64
 PASSES = 2
 START_TEXTS, START_CHARS, START_PASSES = 400, 20_000, 15
@@ -119,11 +119,27 @@ class _CodeCache:
 _CODES = _CodeCache()
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, ``most`` at most: counts that agree in their first eight bits come together or not at all.
+
+    Numbers of words by those bits (some thousands) give the least count, so no task ranks the words of all others.
+    """
+    low = "greatest(length(bin(c)) - 8, 0)"
+    sizes = counts.groupBy(F.expr(f"shiftleft(shiftright(c, {low}), {low})").alias("least")).count().collect()
+    held, least = 0, None
+    for at, size in sorted(map(tuple, sizes), reverse=True):
+        held += size
+        if held > most:
+            break
+        least = at
+    return counts.where(F.col("c") >= F.lit(least))
+
+
 def lexicon(counts: DataFrame, documents: int) -> Lexicon:
     """counts: (word, c) of all training words; documents: training documents, each with one end."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + documents, distinct + (documents > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(DICTIONARY).collect()
+    top = sorted(frequent(counts, DICTIONARY).collect(), key=lambda r: (-r[1], r[0]))
     words, c = [bytes(r[0]) for r in top], np.array([r[1] for r in top], np.float64)
     own = counts.sparkSession.createDataFrame([(w,) for w in words[:OWN]], "word binary")
     rest = counts.join(F.broadcast(own), "word", "left_anti")
@@ -286,10 +302,10 @@ def baum_welch_pass(docs: DataFrame, known: Lexicon, model: States) -> States:
 def starting_texts(training: DataFrame) -> list[str]:
     """Texts of the START_TEXTS documents with the smallest hash of doc_id, of equal ids the smallest text.
 
-    Ids are ranked without their texts, so what tasks hand on for the ranking stays small however many tasks there are.
+    Ids are picked without their texts.
     """
     short = training.where(F.length("text") <= START_CHARS)
-    picked = stored(short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_TEXTS), "starting-ids")
+    picked = stored(smallest(stored(short.select("doc_id").distinct(), "short-ids"), "doc_id", START_TEXTS), "starting-ids")
     texts = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     return [r["text"] for r in sorted(texts.collect(), key=lambda r: r["doc_id"])]
 
