@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varuvakt.llm.common import fresh, sliced, stored, texts_of
+from varuvakt.llm.common import fresh, sliced, smallest, stored, texts_of
 
 LABELLERS = ("shouting", "signs", "repeats", "marked_words", "columns", "sentences", "word_length", "letters")
 GOOD, BAD, NONE = 2, 1, 0
@@ -181,8 +181,8 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     weights = np.zeros(SLOTS)
     bad, good = ([p for p, y in posterior.items() if (y >= 0.5) == side and p] for side in (False, True))
     if bad and good:
-        picks = [voted.where(F.col("pattern").isin(side) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for side in (bad, good)]
-        picked = stored(picks[0].union(picks[1]), "quality-sample")
+        sided = voted.where(F.col("pattern").isin(bad + good) & F.col("doc_id").isNotNull()).withColumn("good", F.col("pattern").isin(good))
+        picked = stored(smallest(sided, "doc_id", sample, "good"), "quality-sample")
         weights = _trained(texts, picked, posterior)
     worker_weights = weights.astype(np.float32)
     table = np.full(3 ** len(LABELLERS), np.nan)
@@ -206,7 +206,7 @@ KNOWN: dict[bytes, tuple[int, ...]] = {}
 
 def _trained(texts: DataFrame, picked: DataFrame, posterior: dict[int, float]) -> np.ndarray:
     """Slots of the sampled documents, made where the texts are; the bounded sample of slots comes to the driver."""
-    wanted = F.broadcast(picked.select(F.col("doc_id").alias("__id"), "pattern").dropDuplicates(["__id"]))
+    wanted = F.broadcast(picked.groupBy(F.col("doc_id").alias("__id")).agg(F.min("pattern").alias("pattern")))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, weights = [], []

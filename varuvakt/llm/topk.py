@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from varuvakt.llm.common import smallest
+
 K = 5
 EVERY = 50
 PIVOTS = 24
@@ -45,7 +47,7 @@ def scaled(embeddings: DataFrame) -> DataFrame:
 
 def choose_pivots(vectors: DataFrame, count: int, pool: int) -> dict[int, np.ndarray]:
     """Per length, pivots far from one another, out of a bounded pool."""
-    taken = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pool).toPandas()
+    taken = smallest(vectors, "vec_id", pool).orderBy(F.xxhash64("vec_id"), "vec_id", "v").toPandas()
     chosen = {}
     for dims, own in taken.groupby("dims"):
         points = np.stack([np.asarray(v, np.float64) for v in own["v"]])

@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varuvakt.llm.common import ascii_lower, stored
+from varuvakt.llm.common import ascii_lower, smallest, stored
 
 #: Fixed rules: host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -79,13 +79,18 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
+def described(rows: DataFrame, rules) -> DataFrame:
+    """rows with host, path, suffix, ruled and label of their url."""
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    rows = rows.withColumn("suffix", F.substring_index("host", ".", -2)).withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules))
+    return rows.withColumn("label", label_of(F.col("host"), F.col("ruled")))
+
+
 def verdicts(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict, block_probability (null where a rule decides)."""
     url = F.coalesce("url", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"))
-    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    rows = rows.withColumn("suffix", F.substring_index("host", ".", -2)).withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumn("label", label_of(F.col("host"), F.col("ruled")))
+    rows = described(pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url")), rules)
+    labelled = rows.where("label IS NOT NULL").select("label", "url").distinct()
     # One row per suffix; the mean and the number of rows go with it.
     suffixes = rows.groupBy("suffix").agg(F.count("*").cast("double").alias("seen"), F.count("label").cast("double").alias("labelled"), F.sum("label").alias("blocked"))
     suffixes = stored(suffixes.withColumn("blocked", F.coalesce("blocked", F.lit(0.0))), "url-suffixes")
@@ -93,14 +98,17 @@ def verdicts(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     mean = total[2] / total[1] if total[1] else 0.0
     rate = (F.col("blocked") + SMOOTHING * mean) / (F.col("labelled") + SMOOTHING)
     known = suffixes.select("suffix", (F.col("seen") / max(total[0], 1.0)).alias("x_suffix_share"), rate.alias("x_suffix_rate"))
-    rows = rows.join(known, "suffix", "left").withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
+
+    def featured(rows: DataFrame) -> DataFrame:
+        return rows.join(known, "suffix", "left").withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
+
+    rows = featured(rows)
     columns = [c for c in rows.columns if c.startswith("x_")]
     if not 0 < total[2] < total[1]:
         only = "block" if total[1] and total[2] else "allow"
         return rows.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("block_probability"))
-    ranked = rows.where("label IS NOT NULL").select("label", "url", *columns).distinct()
-    samples = [ranked.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(sample) for label in (0.0, 1.0)]
-    learnt = stored(samples[0].union(samples[1]), "url-sample")
+    picked = smallest(labelled, "url", sample, "label").select("url")
+    learnt = stored(featured(described(picked, rules)).select("label", *columns), "url-sample")
     gather = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, checkpointInterval=-1)
     model = trees.fit(gather.transform(learnt).select("label", "features"))
