@@ -7,6 +7,7 @@ from conftest import NOW
 from varuvakt.schemas import TABLES
 from varuvakt.sources.snapshots import SnapshotStore
 from varuvakt.streaming import crawl_results, row_results
+from varuvakt.streaming.intake import query_id
 from varuvakt.streaming.tick import Tables, tick
 
 
@@ -22,7 +23,7 @@ def test_snapshots(spark, tmp_path, rows):
     store.create({"t": frame((1, "a"), (2, "b")), "log": log(1)})
     assert store.commit(0, {"t": frame((2, "c"), (3, "d")), "log": log(2)})
     assert not store.commit(0, {"t": frame((9, "z")), "log": log(9)})
-    store.stage("t", 1, frame((8, "halvskriven")))
+    store.stage("t", frame((8, "halvskriven")))
     assert rows(store.read("t")) == [(1, "a"), (2, "c"), (3, "d")]
     assert store.commit(1, {"t": frame((2, None))})
     assert rows(store.read("t")) == [(1, "a"), (2, None), (3, "d")] and rows(store.read("log")) == [(1,), (2,)]
@@ -31,6 +32,53 @@ def test_snapshots(spark, tmp_path, rows):
     assert rows(store.read("t")) == [(1, "a"), (2, None), (3, "d")] and rows(store.read("log")) == [(1,), (2,)]
 
 
+def test_snapshots_of_several_writers(spark, tmp_path, rows):
+    schemas = {"t": "k long, v string", "log": "x long"}
+    store = SnapshotStore(spark, str(tmp_path / "s"), schemas, {"t": ["k"], "log": None})
+    frame = lambda *r: spark.createDataFrame(list(r), "k long, v string")
+    store.create({})
+    assert store.commit(0, {"t": frame((1, "a"))}, "p") and store.commit(1, {"t": frame((1, "b"))}, "p")
+    store.compact(3)
+    assert len(store.pending_batches()) == 2
+    store.compact()
+    # A stream with a new checkpoint starts at zero; its batches are not those of the first.
+    assert store.commit(0, {"t": frame((1, "c"), (2, "d"))}, "q") and not store.commit(0, {"t": frame((1, "e"))}, "q")
+    assert not store.commit(1, {"t": frame((1, "f"))}, "p") and rows(store.read("t")) == [(1, "c"), (2, "d")]
+    # What a writer left behind when it died does not become part of another's version.
+    store.stage("log", spark.createDataFrame([(5,)], "x long"))
+    again = SnapshotStore(spark, str(tmp_path / "s"), schemas, {"t": ["k"], "log": None})
+    assert again.commit(1, {"t": frame((3, "g"))}, "q")
+    assert rows(again.read("log")) == [] and rows(again.read("t")) == [(1, "c"), (2, "d"), (3, "g")]
+
+
+def test_streams_keep_unreadable_lines(spark, tmp_path, rows):
+    store = row_results.open_store(spark, str(tmp_path / "store"))
+    store.create({"jobs": spark.createDataFrame([(1, 7, "processing", "f.csv", None, None, "", 1, 0, None, 0, 0)], TABLES["jobs"])})
+    headers = spark.createDataFrame([(1, ["P"])], "job_id long, fieldnames array<string>")
+    cells = spark.createDataFrame([(1, 0, ["x"])], "job_id long, row_index long, cells array<string>")
+    (tmp_path / "in").mkdir()
+    good = json.dumps({"job_id": 1, "row_index": 0, "ord": 1, "beskrivning": "a", "varfor": "b"})
+    (tmp_path / "in" / "1.json").write_text("\n".join(['{"job_id": 1, "row', good, '{"job_id": "one", "row_index": 0}']))
+
+    def run(checkpoint):
+        row_results.stream_row_results(spark, str(tmp_path / "in"), store, headers, cells, str(tmp_path / checkpoint), NOW, compact_after=1).awaitTermination()
+
+    run("cp")
+    assert rows(store.read("rejects")) == [('{"job_id": "one", "row_index": 0}',), ('{"job_id": 1, "row',)] and store.pending_batches() == []
+    assert rows(store.read("results")) == [(1, 0, "a", "b")] and rows(store.read("jobs"), "status") == [("done",)]
+    run("cp")
+    assert len(rows(store.read("rejects"))) == 2
+    run("another")
+    assert len(rows(store.read("rejects"))) == 4 and rows(store.read("results")) == [(1, 0, "a", "b")]
+
+    crawl = crawl_results.open_store(spark, str(tmp_path / "crawl"))
+    crawl.create({"render_jobs": spark.createDataFrame([(1, "lista", 4, "list", "leased", 1, NOW, None, 0, 0)], TABLES["render_jobs"])})
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "1.json").write_text("\n".join(["nonsense", json.dumps({"job_id": 1, "ord": 1, "items": [{"url": "p1", "price": 10}]})]))
+    crawl_results.stream_crawl_results(spark, str(tmp_path / "pages"), crawl, str(tmp_path / "crawl-cp"), lambda: NOW + 5).awaitTermination()
+    assert rows(crawl.read("rejects")) == [("nonsense",)] and rows(crawl.read("products"), "url", "first_seen") == [("p1", NOW + 5)]
+
+
 def test_crawl_stream_resumes_and_redelivery_is_harmless(spark, tmp_path, rows):
     store = crawl_results.open_store(spark, str(tmp_path / "store"))
     jobs = [(1, "lista", 4, "list", "leased", 1, NOW, None, 0, 0), (2, "p1", 4, "detail", "leased", 1, NOW, None, 0, 0)]
@@ -57,7 +105,7 @@ def test_crawl_stream_resumes_and_redelivery_is_harmless(spark, tmp_path, rows):
         ("lista", "list", "done"), ("p1", "detail", "done"), ("p2", "detail", "pending"), ("p3", "detail", "pending")]
     before = rows(store.read("render_jobs"))
     again = spark.createDataFrame([(1, 9, "fel", None, None, None, None, None, None)], crawl_results.CRAWL_RESULT)
-    assert crawl_results.apply_results(store, again, 1, NOW) is False
+    assert crawl_results.apply_results(store, again, 1, NOW, query_id(spark, str(tmp_path / "cp"))()) is False
     assert rows(store.read("render_jobs")) == before
 
 

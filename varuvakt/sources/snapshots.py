@@ -5,8 +5,10 @@ changed row images per committed batch; readers take the newest image per key.
 A micro-batch therefore writes only the rows it touched, and ``compact`` folds
 the images into a new base now and then. Folders are written first and become
 visible through a commit file, so a batch that died half-way leaves nothing
-readable, and one that is delivered again is skipped. Batch numbers only grow,
-as those of a streaming query do.
+readable. The store counts its versions itself; the commit file also names the
+writer and the writer's own batch number, so a batch that is delivered again is
+skipped, while another stream, or one with a new checkpoint, may start at zero.
+One writer commits at a time.
 """
 
 from __future__ import annotations
@@ -23,49 +25,70 @@ class SnapshotStore:
         self.spark, self.root, self.schemas, self.keys = spark, root.rstrip("/"), schemas, keys
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._staged: set[tuple[str, int]] = set()
 
-    def _marks(self, kind: str) -> list[int]:
+    def _names(self, kind: str) -> list[str]:
+        """What follows ``kind=`` in the names of commit files: a version, for batches then the writer's number and the writer."""
         log = self._path(f"{self.root}/_commits")
         if not self._fs.exists(log):
             return []
         names = [status.getPath().getName() for status in self._fs.listStatus(log)]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
+        return [n.split("=", 1)[1] for n in names if n.startswith(f"{kind}=")]
+
+    def _marks(self, kind: str) -> list[int]:
+        return sorted(int(n.split("_")[0]) for n in self._names(kind))
 
-    def _mark(self, kind: str, number: int) -> None:
+    def _mark(self, name: str) -> None:
         self._fs.mkdirs(self._path(f"{self.root}/_commits"))
-        self._fs.create(self._path(f"{self.root}/_commits/{kind}={number}"), True).close()
+        self._fs.create(self._path(f"{self.root}/_commits/{name}"), True).close()
+
+    def _next_version(self) -> int:
+        return max(self._marks("base") + self._marks("batch")) + 1
 
     def base_batch(self) -> int:
-        """The last batch the newest base contains."""
+        """The last version the newest base contains."""
         return max(self._marks("base"))
 
     def pending_batches(self) -> list[int]:
-        """Committed batches newer than the base."""
+        """Committed versions newer than the base."""
         return [b for b in self._marks("batch") if b > self.base_batch()]
 
-    def is_committed(self, batch: int) -> bool:
-        return batch <= self.base_batch() or batch in self._marks("batch")
+    def is_committed(self, batch: int, writer: str = "") -> bool:
+        return any(n.split("_", 1)[1] == f"{batch}_{writer}" for n in self._names("batch"))
 
     def create(self, tables: dict[str, DataFrame]) -> None:
-        self._write("base", BEFORE_ANY_BATCH, tables)
-
-    def commit(self, batch: int, changes: dict[str, DataFrame]) -> bool:
-        """Store changed rows per table as one batch; False when the batch is committed already."""
-        if self.is_committed(batch):
+        """The first base; tables that are not given are empty."""
+        absent = {n: self.spark.createDataFrame([], schema) for n, schema in self.schemas.items() if n not in tables}
+        self._write("base", BEFORE_ANY_BATCH, tables | absent)
+        self._mark(f"base={BEFORE_ANY_BATCH}")
+
+    def commit(self, batch: int, changes: dict[str, DataFrame], writer: str = "") -> bool:
+        """Store changed and staged rows per table as one version; False when the writer's batch is committed already."""
+        if self.is_committed(batch, writer):
             return False
-        self._write("batch", batch, changes)
+        version = self._next_version()
+        for name in self.schemas:
+            if name not in changes and (name, version) not in self._staged:
+                # What a batch that died half-way may have left under this version.
+                self._fs.delete(self._path(f"{self.root}/{name}/batch={version}"), True)
+        self._write("batch", version, changes)
+        self._mark(f"batch={version}_{batch}_{writer}")
+        self._staged.clear()
         return True
 
-    def stage(self, name: str, batch: int, rows: DataFrame) -> DataFrame:
+    def stage(self, name: str, rows: DataFrame) -> DataFrame:
         """Write one table's changes ahead of the commit and read them back, which cuts their lineage."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
-        return self._load(name, [f"batch={batch}"])
+        version = self._next_version()
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={version}")
+        self._staged.add((name, version))
+        return self._load(name, [f"batch={version}"])
 
-    def compact(self) -> None:
-        """Fold all committed changes into a new base. Older folders stay for readers that still use them."""
+    def compact(self, least: int = 1) -> None:
+        """Fold all committed changes, if ``least`` versions or more, into a new base. Older folders stay for readers that still use them."""
         pending = self.pending_batches()
-        if pending:
+        if len(pending) >= least:
             self._write("base", max(pending), {name: self.read(name) for name in self.schemas})
+            self._mark(f"base={max(pending)}")
 
     def read(self, name: str) -> DataFrame:
         """Current rows of a table: per key the image of the newest batch."""
@@ -90,7 +113,6 @@ class SnapshotStore:
     def _write(self, kind: str, number: int, tables: dict[str, DataFrame]) -> None:
         for name, rows in tables.items():
             rows.write.mode("overwrite").parquet(f"{self.root}/{name}/{kind}={number}")
-        self._mark(kind, number)
 
     def _load(self, name: str, folders: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schemas[name]).parquet(*[f"{self.root}/{name}/{f}" for f in folders])

@@ -19,13 +19,16 @@ from varuvakt.operators.crawl import (
 )
 from varuvakt.schemas import CRAWL_RESULT, TABLES
 from varuvakt.sources.snapshots import SnapshotStore
+from varuvakt.streaming.clock import Clock, read_clock
+from varuvakt.streaming.intake import COMPACT_AFTER, REJECT_SCHEMA, json_lines, query_id, split_rejects
 
 NAMES = ("products", "price_history", "render_jobs")
 
 
 def open_store(spark: SparkSession, root: str) -> SnapshotStore:
     keys = {"products": ["url"], "price_history": None, "render_jobs": ["id"]}
-    return SnapshotStore(spark, root, {n: TABLES[n] for n in NAMES}, keys)
+    schemas = {n: TABLES[n] for n in NAMES} | {"rejects": REJECT_SCHEMA}
+    return SnapshotStore(spark, root, schemas, keys | {"rejects": None})
 
 
 def changed_tables(
@@ -80,35 +83,47 @@ def changed_tables(
     return {"products": after, "price_history": points, "render_jobs": job_rows}
 
 
-def apply_results(store: SnapshotStore, results: DataFrame, batch: int, now_ms: int) -> bool:
-    """Commit one batch of results; a batch that is committed already changes nothing."""
-    if store.is_committed(batch):
+def apply_results(store: SnapshotStore, results: DataFrame, batch: int, now_ms: Clock, writer: str = "") -> bool:
+    """Commit one batch of results and its unreadable lines; a batch that is committed already changes nothing."""
+    if store.is_committed(batch, writer):
         return False
+    now = read_clock(now_ms)
     kept: list[DataFrame] = [results.persist()]
 
     def keep(name: str, rows: DataFrame) -> DataFrame:
         if name == "products":
-            return store.stage(name, batch, rows)
+            return store.stage(name, rows)
         # Filled at once: the many small jobs below would otherwise each compute it while it is not there yet.
         kept.append(rows.persist())
         kept[-1].count()
         return kept[-1]
 
-    changes = changed_tables(*[store.read(n) for n in NAMES], results, now_ms, keep)
-    del changes["products"]
-    committed = store.commit(batch, changes)
-    for rows in kept:
-        rows.unpersist()
-    return committed
+    try:
+        readable, rejects = split_rejects(kept[0])
+        changes = changed_tables(*[store.read(n) for n in NAMES], readable, now, keep)
+        del changes["products"]
+        return store.commit(batch, changes | rejects, writer)
+    finally:
+        for rows in kept:
+            rows.unpersist()
 
 
 def stream_crawl_results(
-    spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, now_ms: int, files_per_batch: int = 1
+    spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, now_ms: Clock, files_per_batch: int = 1, compact_after: int = COMPACT_AFTER
 ) -> StreamingQuery:
-    """Consume JSON result files from ``source`` until none is left, one committed change per micro-batch."""
-    results = spark.readStream.schema(CRAWL_RESULT).option("maxFilesPerTrigger", files_per_batch).json(source)
+    """Consume JSON result files from ``source`` until none is left, one committed change per micro-batch.
+
+    ``now_ms`` is a time or a function that is asked once per batch. Lines that do not fit the schema go to the table ``rejects``.
+    """
+    writer = query_id(spark, checkpoint)
+
+    def work(batch: DataFrame, number: int) -> None:
+        apply_results(store, batch, number, now_ms, writer())
+        store.compact(compact_after)
+
     return (
-        results.writeStream.foreachBatch(lambda batch, number: apply_results(store, batch, number, now_ms))
+        json_lines(spark, source, CRAWL_RESULT, files_per_batch)
+        .writeStream.foreachBatch(work)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

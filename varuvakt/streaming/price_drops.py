@@ -10,6 +10,7 @@ from varuvakt.operators.prices import price_alerts, price_drops
 from varuvakt.schemas import TABLES
 from varuvakt.sources.snapshots import SnapshotStore
 from varuvakt.streaming.clock import Clock, read_clock
+from varuvakt.streaming.intake import COMPACT_AFTER, query_id
 
 ALERT_SCHEMA = (
     "account_id long, product_id long, last_alert long, title string, url string, "
@@ -35,6 +36,7 @@ def apply_points(
     points: DataFrame,
     batch: int,
     now_ms: Clock,
+    writer: str = "",
 ) -> bool:
     """Append one batch of points, the alerts they raise and the cooldowns these start.
 
@@ -42,10 +44,10 @@ def apply_points(
     watch's last alert is the later of its own and the one this stream has
     committed, so later batches keep to the cooldown.
     """
-    if store.is_committed(batch):
+    if store.is_committed(batch, writer):
         return False
     now = read_clock(now_ms)
-    fresh = store.stage("price_history", batch, points)
+    fresh = store.stage("price_history", points)
     named = fresh.select("product_id").distinct()
     history = store.read("price_history").join(named, "product_id", "left_semi").unionByName(fresh)
     alerted = store.read("cooldowns").withColumnRenamed("last_alert", "_alerted")
@@ -55,8 +57,8 @@ def apply_points(
         .withColumn("last_alert", F.greatest("last_alert", "_alerted"))
         .drop("_alerted")
     )
-    raised = store.stage("alerts", batch, price_alerts(price_drops(asked, history, products), channels, now))
-    return store.commit(batch, {"cooldowns": raised.select(*WATCH_KEY, F.lit(now).cast("long").alias("last_alert"))})
+    raised = store.stage("alerts", price_alerts(price_drops(asked, history, products), channels, now))
+    return store.commit(batch, {"cooldowns": raised.select(*WATCH_KEY, F.lit(now).cast("long").alias("last_alert"))}, writer)
 
 
 def stream_price_drops(
@@ -69,16 +71,21 @@ def stream_price_drops(
     checkpoint: str,
     now_ms: Clock,
     files_per_batch: int = 1,
+    compact_after: int = COMPACT_AFTER,
 ) -> StreamingQuery:
     """Consume Parquet files of price points from ``source`` until none is left.
 
     ``now_ms`` is a time or a function that is asked once per batch.
     """
     points = spark.readStream.schema(TABLES["price_history"]).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    writer = query_id(spark, checkpoint)
+
+    def work(batch: DataFrame, number: int) -> None:
+        apply_points(store, watch, products, channels, batch, number, now_ms, writer())
+        store.compact(compact_after)
+
     return (
-        points.writeStream.foreachBatch(
-            lambda batch, number: apply_points(store, watch, products, channels, batch, number, now_ms)
-        )
+        points.writeStream.foreachBatch(work)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
