@@ -239,6 +239,23 @@ def test_secrets_equal_plain_expressions(spark, docs, texts, odd):
     assert secrets.scan(odd).count() == 3 and secrets.scan(empty(spark)).count() == 0
 
 
+def test_secrets_are_taken_out_whole(spark):
+    body = "\n".join(["MIIEow+/" * 8] * 20_000 + ["Qx7="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    escaped = (begin + body[:640] + end).replace("\n", "\\n")
+    tokens = ["ghp_" + "a1B2" * 90, "xoxb-" + "12-ab" * 70, "sk_live_" + "a1B2" * 90, "eyJ" + "a" * 9000 + ".eyJ" + "b" * 9000 + "." + "c" * 9000, "://me:" + "p4" * 60 + "@h"]
+    secret = [begin + body + end, begin + fields + body[:1000] + end, begin + body, begin + fields + body[:660], f'"{escaped}"'[1:-1], *tokens]
+    rows = [(k, f"before {t}\nafter all of it") for k, t in enumerate(secret)]
+    rows.append((90, f"{begin}{body[:660]}\n{begin}{body[:660]}{end} and -----BEGIN PRIVATE KEY----- is a header\n-----END CERTIFICATE-----"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    for k, t in enumerate(secret):
+        assert clean[k] == "before [SECRET]\nafter all of it", (k, clean[k][:200])
+    assert clean[90] == "[SECRET]\n[SECRET] and [SECRET] is a header\n-----END CERTIFICATE-----"
+    assert by_id(secrets.scan(df))[0]["spans"].startswith(f"private_key:7:{7 + len(secret[0])}")
+
+
 def test_license_phrases_equal_brute_force(spark, docs, texts, odd):
     got = by_id(licenses.scan(docs))
     for k, t in enumerate(texts):
