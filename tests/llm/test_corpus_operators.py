@@ -175,6 +175,19 @@ def test_quality_rejects_junk_only(spark):
     assert quality.keep_good(df).columns == df.columns and quality.judge(df.limit(0)).count() == 0
 
 
+def test_quality_without_good_votes(spark):
+    rng = random.Random(8)
+    verse = lambda: "\n".join(" ".join("".join(rng.choice(["th", "in", "on", "er"]) for _ in range(rng.randint(1, 3))) for _ in range(6)) for _ in range(8))
+    rows = [(k, verse()) for k in range(200)] + [(200 + k, verse().upper()) for k in range(40)] + [(900, ""), (901, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(quality.judge(df))
+    assert max(got[k]["posterior"] for k in range(200, 240)) < 0.5 <= max(got[k]["posterior"] for k in range(200))
+    assert sum(got[k]["keep"] != (k < 200 or k >= 900) for k in got) <= 2
+    # Without ids there is nothing to learn from, and the posterior decides.
+    blind = quality.judge(df.selectExpr("CAST(NULL AS LONG) AS doc_id", "text")).collect()
+    assert sum(not r["keep"] for r in blind) >= 40 and all(r["keep"] == (r["posterior"] >= 0.5) for r in blind)
+
+
 def test_hmm_base_and_likelihood(spark, docs, texts, odd):
     got = by_id(hmm.score(docs))
     counts = Counter()

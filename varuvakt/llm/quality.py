@@ -3,7 +3,8 @@
 Heuristic labellers vote bad, good or nothing on each text; most know one defect only and stay silent otherwise. How often each pattern of votes occurs is counted over all
 documents; expectation-maximisation on those counts estimates the labellers' accuracies and
 the share of good documents, and so gives each pattern a posterior.
-The posteriors are the labels of a logistic scorer on hashed words and signs, which decides.
+The posteriors are the labels of a logistic scorer on hashed words and signs, which decides. Where only silent texts are good, they are
+its good side; where one side has no texts with a doc_id, there is no scorer and the posteriors are the scores.
 
 Counts and posteriors cover all documents. The scorer learns from at most SAMPLE documents of each side, those
 with the smallest hash of their doc_id; whole texts are read everywhere.
@@ -178,13 +179,16 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     texts = texts_of(docs)
     voted = stored(vote_patterns(docs), "votes")
     posterior, _, _ = posteriors(voted)
-    weights = np.zeros(SLOTS)
+    weights = None
     bad, good = ([p for p, y in posterior.items() if (y >= 0.5) == side and p] for side in (False, True))
+    if not good and posterior.get(0, 0.0) >= 0.5:
+        good = [0]
     if bad and good:
         sided = voted.where(F.col("pattern").isin(bad + good) & F.col("doc_id").isNotNull()).withColumn("good", F.col("pattern").isin(good))
         picked = stored(smallest(sided, "doc_id", sample, "good"), "quality-sample")
         weights = _trained(texts, picked, posterior)
-    worker_weights = weights.astype(np.float32)
+    trained = weights is not None
+    worker_weights = weights.astype(np.float32) if trained else np.zeros(SLOTS, np.float32)
     table = np.full(3 ** len(LABELLERS), np.nan)
     table[list(posterior)] = list(posterior.values())
 
@@ -192,8 +196,11 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         scores, labels = [], []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             ids, x = counted(features(text.split(), KNOWN))
-            scores.append(float(1 / (1 + np.exp(-np.clip(BIAS + worker_weights[ids] @ x, -50, 50)))))
             labels.append(float(table[votes(text)]))
+            if trained or not len(ids):
+                scores.append(float(1 / (1 + np.exp(-np.clip(BIAS + worker_weights[ids] @ x, -50, 50)))))
+            else:
+                scores.append(labels[-1])
         kept = [s >= KEEP_AT for s in scores]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels), pa.array(scores), pa.array(kept)], names=["doc_id", "posterior", "score", "keep"])
 
@@ -204,8 +211,8 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 KNOWN: dict[bytes, tuple[int, ...]] = {}
 
 
-def _trained(texts: DataFrame, picked: DataFrame, posterior: dict[int, float]) -> np.ndarray:
-    """Slots of the sampled documents, made where the texts are; the bounded sample of slots comes to the driver."""
+def _trained(texts: DataFrame, picked: DataFrame, posterior: dict[int, float]) -> np.ndarray | None:
+    """Slots of the sampled documents, made where the texts are; the bounded sample of slots comes to the driver. None if one side has none."""
     wanted = F.broadcast(picked.groupBy(F.col("doc_id").alias("__id")).agg(F.min("pattern").alias("pattern")))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -220,7 +227,10 @@ def _trained(texts: DataFrame, picked: DataFrame, posterior: dict[int, float]) -
 
     rows = texts.join(wanted, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "pattern")
     data = rows.mapInArrow(sliced(work), "doc_id long, pattern int, ids array<int>, x array<float>").toArrow().sort_by("doc_id")
-    return fit_scorer(data.column("ids").to_pylist(), data.column("x").to_pylist(), [posterior[p] for p in data.column("pattern").to_pylist()])
+    labels = [posterior[p] for p in data.column("pattern").to_pylist()]
+    if len({y >= 0.5 for y in labels}) < 2:
+        return None
+    return fit_scorer(data.column("ids").to_pylist(), data.column("x").to_pylist(), labels)
 
 
 def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
