@@ -301,6 +301,14 @@ def test_url_rules_and_model(spark):
     assert urlfilter.verdicts(df.limit(0)).count() == 0
 
 
+def test_url_cut_does_not_move_with_the_sample(spark):
+    # A tenth of these URLs, which look alike, is labelled "block": most stay allowed, also where as many of each label are sampled.
+    rng = random.Random(3)
+    rows = [(k, f"http://{'maps' if rng.random() > 0.1 else 'spam'}.example.com/en/{1000 + k}") for k in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    assert [sum(r["verdict"] == "block" for r in urlfilter.verdicts(df, sample=n).collect()) < 180 for n in (5_000, 60)] == [True, True]
+
+
 def check_pieces(pieces, texts):
     from tokenizers import Tokenizer
 

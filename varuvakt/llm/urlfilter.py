@@ -107,11 +107,15 @@ def verdicts(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     if not 0 < total[2] < total[1]:
         only = "block" if total[1] and total[2] else "allow"
         return rows.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("block_probability"))
-    picked = smallest(labelled, "url", sample, "label").select("url")
-    learnt = stored(featured(described(picked, rules)).select("label", *columns), "url-sample")
+    # Each label weighs as much as all its distinct URLs, so that the cut is alike at every size.
+    distinct = stored(labelled, "url-labelled")
+    sizes = dict(map(tuple, distinct.groupBy("label").count().collect()))
+    picked = smallest(distinct, "url", sample, "label").select("url")
+    weight = F.coalesce(*[F.when(F.col("label") == label, n / min(n, sample)) for label, n in sorted(sizes.items())])
+    learnt = stored(featured(described(picked, rules)).select("label", weight.alias("weight"), *columns), "url-sample")
     gather = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, checkpointInterval=-1)
-    model = trees.fit(gather.transform(learnt).select("label", "features"))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, checkpointInterval=-1, weightCol="weight")
+    model = trees.fit(gather.transform(learnt).select("label", "weight", "features"))
     scored = model.transform(gather.transform(rows)).withColumn("block_probability", vector_to_array("probability")[1])
     judged = F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")
     return scored.select(
