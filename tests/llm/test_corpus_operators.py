@@ -283,6 +283,33 @@ def test_license_phrases_equal_brute_force(spark, docs, texts, odd):
     assert licenses.scan(odd).count() == 3 and licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_gates_lose_nothing(spark):
+    grants = [
+        ("released under EPL-2.0.", "epl-2.0"), ("it is released under MIT.", "mit"), ("distributed under zlib.", "zlib"), ("available under the OFL 1.1.", "ofl-1.1"),
+        ("provided under EUPL", "eupl-1.2"), ("published under the PSF.", "python-2.0"), ("under the terms of the ISC", "isc"), ("gnu gpl v3", "gpl-3.0"), ("released under BSL-1.0", "boost-1.0"),
+    ]
+    rows = [(k, t) for k, (t, _) in enumerate(grants)] + [(100 + k, w) for k, w in enumerate(["no grant", "", "under no terms", "published by cc"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = by_id(licenses.scan(df))
+    assert [found[k]["labels"] for k in range(len(grants))] == [label for _, label in grants]
+    assert found == by_id(licenses.scan(df, gated=False))
+
+
+def test_licenses_over_line_ends_and_whole_texts(spark):
+    bsd = "Redistribution and use in source and binary forms, with or\n# without modification, are permitted provided that"
+    texts = [
+        ("licensed under the\nApache License,  Version 2.0", "apache-2.0"), (" * Licensed under the Apache\n * License, Version 2.0", "apache-2.0"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software", "mit"),
+        (bsd, "bsd-2-clause"), (bsd + " " + "x " * 9000 + "Neither the name\n# of it", "bsd-3-clause"), (bsd + "\n" + bsd + "\nneither the name of it", "bsd-2-clause,bsd-3-clause"),
+        ("GNU General Public License as published by\n// the Free Software Foundation; either version 2 of the License", "gpl-2.0"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", "isc"),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    found = by_id(licenses.scan(df))
+    assert [[x for x in found[k]["labels"].split(",") if x not in ("apache", "gpl")] for k in range(len(texts))] == [label.split(",") for _, label in texts]
+    assert found == by_id(licenses.scan(df, gated=False))
+
+
 def test_url_rules_and_model(spark):
     fixed = [
         ("https://A.Example.NET/en/x?y", "a.example.net", "/en/x", "example.net/en/", "allow"), ("http://example.net/fr/", "example.net", "/fr/", "net/", "block"),
