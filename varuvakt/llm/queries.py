@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from varuvakt.llm import check_texts
 from varuvakt.llm.registry import ORACLES, QUERIES, register, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -91,3 +92,10 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varuvakt.llm.fingerprint import fingerprints as operator
 
     return operator(table(spark, sf_dir, "documents"))
+
+
+@register("op11_merkle", check_texts.merkle())
+def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varuvakt.llm.merkle import digests
+
+    return digests(table(spark, sf_dir, "documents"))
