@@ -48,3 +48,22 @@ def merkle(levels: int = 5, source_levels: int = 3) -> str:
         "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, r.node AS root, sha256(proof) AS proof_sha256, p.node AS folded_root, p.node = r.node AS verified"
         f" FROM {last} p, s{source_levels} r"
     )
+
+
+def spelling() -> str:
+    """Pairs by equal one-deletion forms; a form has over the word's n, so following forms ends."""
+    bytes_of = "list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))"
+    return f"""WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all({LOWER.format("text")}, '[A-Za-zÀ-ÿ]{{5,}}')) AS run FROM documents),
+keyed AS (SELECT run, count(*) AS c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, c, {crc32(bytes_of)} AS h FROM keyed),
+altered AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM altered WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND length(a.word) = length(b.word) AND a.word <> b.word
+ UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS form_n FROM pairs GROUP BY word),
+first AS (SELECT p.word, min(p.other) AS form FROM pairs p JOIN best b ON b.word = p.word AND b.form_n = p.other_n GROUP BY p.word),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 2 * w.n THEN f.form END AS form, CASE WHEN b.form_n >= 2 * w.n THEN b.form_n END AS form_n
+ FROM words w LEFT JOIN best b ON b.word = w.word LEFT JOIN first f ON f.word = w.word),
+way AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT y.word, f.word, f.form FROM way y JOIN forms f ON f.word = y.next)
+SELECT f.word, f.form, y.root, f.n, f.n_near, f.form_n FROM forms f JOIN way y ON y.word = f.word AND y.next IS NULL"""

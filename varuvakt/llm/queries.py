@@ -99,3 +99,17 @@ def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varuvakt.llm.merkle import digests
 
     return digests(table(spark, sf_dir, "documents"))
+
+
+@register("op12_embeddings")
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varuvakt.llm.multi_index import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_spelling", check_texts.spelling())
+def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varuvakt.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
