@@ -109,11 +109,12 @@ def apply_results(store: SnapshotStore, results: DataFrame, batch: int, now_ms:
 
 
 def stream_crawl_results(
-    spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, now_ms: Clock, files_per_batch: int = 1, compact_after: int = COMPACT_AFTER
+    spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, now_ms: Clock, files_per_batch: int = 1, compact_after: int = COMPACT_AFTER, within: str | None = None
 ) -> StreamingQuery:
     """Consume JSON result files from ``source`` until none is left, one committed change per micro-batch.
 
     ``now_ms`` is a time or a function that is asked once per batch. Lines that do not fit the schema go to the table ``rejects``.
+    With ``within`` (a time such as "2 days") messages that are delivered again count once.
     """
     writer = query_id(spark, checkpoint)
 
@@ -122,7 +123,7 @@ def stream_crawl_results(
         store.compact(compact_after)
 
     return (
-        json_lines(spark, source, CRAWL_RESULT, files_per_batch)
+        json_lines(spark, source, CRAWL_RESULT, files_per_batch, within)
         .writeStream.foreachBatch(work)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -1,92 +1,201 @@
-"""Price points as a stream; every batch alerts on the products it brought points for."""
+"""Price points as a stream with keyed state: the newest pair of a product, the cooldown of a watch, accepted deliveries fed back.
+
+Two queries, joined by folders under one root:
+
+``stream_pairs``: points -> the two newest points of each product as state -> ``pairs``, one row per product and batch that brought points.
+``stream_alerts``: pairs fanned out to their watches, and accepted deliveries -> per watch the standing drop, the time of its last accepted
+alert and of the one under way -> alerts -> messages -> ``deliver`` -> ``accepted``, which this query reads again.
+
+Neither reads the price history, the alerts or the deliveries of earlier batches. A watch is asked again by timers in event time (the messages'
+arrival ``at``): when a cooldown ends while the drop still stands, and ``retry_ms`` after an alert that no channel accepted, or whose outcome was
+lost. Only an accepted alert starts the cooldown. A watch without a standing drop, an alert under way or a running cooldown keeps no state.
+
+A batch that runs again after a failure raises the same alerts; messages of a batch whose deliveries are stored are not sent again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from varuvakt.operators.describe import Deliver, deliver_with
+from varuvakt.operators.prices import COOLDOWN_HOURS, HOUR_MS, MIN_DROP_KR, MIN_DROP_PCT, alert_messages, drop_pct
+from varuvakt.streaming.intake import finished, once, query_id
+
+#: A price point as it arrives: ``at`` is the time of its arrival, ``message_id`` that of its message, if it has one.
+POINT_SCHEMA = "product_id long, price long, ts long, at long, message_id string"
+PAIR_SCHEMA = "product_id long, at long, old_price long, new_price long"
+PAIR_STATE = "ts long, price long, ts_before long, price_before long, points int"
+ACCEPTED_SCHEMA = "account_id long, product_id long, at long"
+ALERT_SCHEMA = "account_id long, product_id long, at long, old_price long, new_price long"
+WATCH_STATE = "old_price long, new_price long, standing boolean, last_alert long, asked long"
+WATCH_KEY = ["account_id", "product_id"]
 
-from varuvakt.operators.prices import price_alerts, price_drops
-from varuvakt.schemas import TABLES
-from varuvakt.sources.snapshots import SnapshotStore
-from varuvakt.streaming.clock import Clock, read_clock
-from varuvakt.streaming.intake import COMPACT_AFTER, query_id
+NEVER = -(2**62)
+RETRY_MS = 300_000
+#: How far event time stays behind the newest message; messages that lag more are left out.
+LATENESS_MS = 1_000
+REDELIVERED_WITHIN = "2 days"
 
-ALERT_SCHEMA = (
-    "account_id long, product_id long, last_alert long, title string, url string, "
-    "old_price long, new_price long, drop_kr long, drop_pct double"
-)
 
+def two_newest(points: DataFrame) -> DataFrame:
+    """At most two rows per product leave a batch of a task, the newest first; ``at`` is the product's last arrival in it."""
 
-COOLDOWN_SCHEMA = "account_id long, product_id long, last_alert long"
-WATCH_KEY = ["account_id", "product_id"]
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            rows = rows.assign(at=rows.groupby("product_id")["at"].transform("max"))
+            yield rows.sort_values(["ts", "price"], ascending=False).groupby("product_id").head(2)
 
+    whole = points.select("product_id", "price", "ts", "at").dropna()
+    return whole.mapInPandas(keep, "product_id long, price long, ts long, at long")
 
-def open_store(spark: SparkSession, root: str) -> SnapshotStore:
-    """Points, alerts, and per watch the time of its last alert in this stream."""
-    schemas = {"price_history": TABLES["price_history"], "alerts": ALERT_SCHEMA, "cooldowns": COOLDOWN_SCHEMA}
-    return SnapshotStore(spark, root, schemas, {"price_history": None, "alerts": None, "cooldowns": WATCH_KEY})
 
+def price_pairs(points: DataFrame) -> DataFrame:
+    """Streaming points -> product_id, at, old_price, new_price of every product with two points at least that had points in the batch."""
 
-def apply_points(
-    store: SnapshotStore,
-    watch: DataFrame,
-    products: DataFrame,
-    channels: DataFrame,
-    points: DataFrame,
-    batch: int,
-    now_ms: Clock,
-    writer: str = "",
-) -> bool:
-    """Append one batch of points, the alerts they raise and the cooldowns these start.
-
-    The history and the watches are narrowed to the batch's products first. A
-    watch's last alert is the later of its own and the one this stream has
-    committed, so later batches keep to the cooldown.
-    """
-    if store.is_committed(batch, writer):
-        return False
-    now = read_clock(now_ms)
-    fresh = store.stage("price_history", points)
-    named = fresh.select("product_id").distinct()
-    history = store.read("price_history").join(named, "product_id", "left_semi").unionByName(fresh)
-    alerted = store.read("cooldowns").withColumnRenamed("last_alert", "_alerted")
-    asked = (
-        watch.join(named, "product_id", "left_semi")
-        .join(alerted, WATCH_KEY, "left")
-        .withColumn("last_alert", F.greatest("last_alert", "_alerted"))
-        .drop("_alerted")
+    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, at = [], NEVER
+        if state.exists:
+            ts, price, ts_before, price_before, points = state.get
+            held = [(ts, price), (ts_before, price_before)][:points]
+        for rows in batches:
+            held = sorted([*held, *zip(rows["ts"].tolist(), rows["price"].tolist())], reverse=True)[:2]
+            at = max(at, int(rows["at"].max()))
+        first, second = held[0], held[-1]
+        state.update((*first, *second, len(held)))
+        if len(held) == 2:
+            yield pd.DataFrame({"product_id": [key[0]], "at": [at], "old_price": [second[1]], "new_price": [first[1]]})
+
+    return two_newest(points).groupBy("product_id").applyInPandasWithState(pair, PAIR_SCHEMA, PAIR_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def watched_pairs(pairs: DataFrame, watch: DataFrame, products: DataFrame, channels: DataFrame, min_pct: float = 0, min_kr: float = 0) -> DataFrame:
+    """Pairs for every watch of a known product by a reachable account; ``standing``: a drop past both thresholds (zero: the default)."""
+    kr, pct = F.col("old_price") - F.col("new_price"), drop_pct(F.col("old_price"), F.col("new_price"))
+    standing = (kr > 0) & (pct >= (min_pct or MIN_DROP_PCT)) & (kr >= (min_kr or MIN_DROP_KR))
+    known = products.select(F.col("id").alias("product_id"))
+    reachable = channels.filter("enabled = 1").select("account_id")
+    return (
+        pairs.withColumn("standing", F.coalesce(standing, F.lit(False)))
+        .join(known, "product_id", "left_semi")
+        .join(watch.select(*WATCH_KEY, "last_alert"), "product_id")
+        .join(reachable, "account_id", "left_semi")
+        .select(*WATCH_KEY, "at", "old_price", "new_price", "standing", "last_alert", F.lit(False).alias("accepted"))
     )
-    raised = store.stage("alerts", price_alerts(price_drops(asked, history, products), channels, now))
-    return store.commit(batch, {"cooldowns": raised.select(*WATCH_KEY, F.lit(now).cast("long").alias("last_alert"))}, writer)
 
 
-def stream_price_drops(
+def due_alerts(messages: DataFrame, cooldown_ms: int, retry_ms: int, lateness_ms: int) -> DataFrame:
+    """Watched pairs and accepted deliveries, in event time ``time`` -> alerts to send now.
+
+    The rows of a watch in one batch are walked by time; of several pairs that arrived since the last batch each may alert, if
+    nothing is under way.
+    """
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old, new, standing, last, asked = state.get if state.exists else (0, 0, False, NEVER, NEVER)
+        alerts = []
+
+        def look(now: int) -> None:
+            nonlocal asked
+            if asked != NEVER and asked + retry_ms <= now:
+                asked = NEVER  # not accepted, or its outcome was lost
+            if standing and asked == NEVER and (last == NEVER or last + cooldown_ms <= now):
+                alerts.append((*key, now, old, new))
+                asked = now
+
+        if state.hasTimedOut:
+            now = state.getCurrentWatermarkMs() + lateness_ms
+            look(now)
+        else:
+            rows = pd.concat([rows.drop(columns="time") for rows in batches]).sort_values(["at", "accepted"], ascending=[True, False])
+            now = int(rows["at"].max())
+            for row in rows.itertuples():
+                if row.accepted:
+                    last = max(last, int(row.at))
+                    asked = NEVER if asked == row.at else asked
+                else:
+                    old, new, standing = int(row.old_price), int(row.new_price), bool(row.standing)
+                    last = last if pd.isna(row.last_alert) else max(last, int(row.last_alert))
+                    look(int(row.at))
+        cooled = last + cooldown_ms if last != NEVER else NEVER
+        due = asked + retry_ms if asked != NEVER else cooled if cooled > now or standing else NEVER
+        if due == NEVER:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((old, new, standing, last, asked))
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1, 1))
+        if alerts:
+            yield pd.DataFrame(np.array(alerts, np.int64), columns=[*WATCH_KEY, "at", "old_price", "new_price"])
+
+    return messages.groupBy(*WATCH_KEY).applyInPandasWithState(decide, ALERT_SCHEMA, WATCH_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _land(spark: SparkSession, folder: str, schema: str) -> str:
+    """A folder that a stream may read before anything is written to it."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(folder)
+    return folder
+
+
+def stream_pairs(spark: SparkSession, source: str, root: str, within: str = REDELIVERED_WITHIN, trigger: dict | None = None, files_per_batch: int = 1000) -> StreamingQuery:
+    """Parquet files of points in ``source`` -> ``root``/pairs. A point that is delivered again within ``within`` of its arrival counts once."""
+    points = spark.readStream.schema(POINT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    told_once = once(points, F.timestamp_millis("at"), "message_id", within)
+    out = price_pairs(told_once).writeStream.format("parquet").option("checkpointLocation", f"{root}/pairs-checkpoint")
+    return out.trigger(**(trigger or {"availableNow": True})).start(f"{root}/pairs")
+
+
+def stream_alerts(
     spark: SparkSession,
-    source: str,
-    store: SnapshotStore,
+    root: str,
     watch: DataFrame,
     products: DataFrame,
     channels: DataFrame,
-    checkpoint: str,
-    now_ms: Clock,
-    files_per_batch: int = 1,
-    compact_after: int = COMPACT_AFTER,
+    deliver: Deliver,
+    min_pct: float = 0,
+    min_kr: float = 0,
+    cooldown_hours: float = 0,
+    retry_ms: int = RETRY_MS,
+    lateness_ms: int = LATENESS_MS,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Consume Parquet files of price points from ``source`` until none is left.
+    """``root``/pairs and ``root``/accepted -> ``root``/alerts, ``root``/deliveries and ``root``/accepted.
 
-    ``now_ms`` is a time or a function that is asked once per batch.
+    The three tables are read anew when the query starts.
     """
-    points = spark.readStream.schema(TABLES["price_history"]).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    writer = query_id(spark, checkpoint)
-
-    def work(batch: DataFrame, number: int) -> None:
-        apply_points(store, watch, products, channels, batch, number, now_ms, writer())
-        store.compact(compact_after)
-
-    return (
-        points.writeStream.foreachBatch(work)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    pairs = spark.readStream.schema(PAIR_SCHEMA).parquet(f"{root}/pairs")
+    back = spark.readStream.schema(ACCEPTED_SCHEMA).parquet(_land(spark, f"{root}/accepted", ACCEPTED_SCHEMA))
+    fed = back.selectExpr(*WATCH_KEY, "at", "0L AS old_price", "0L AS new_price", "false AS standing", "CAST(NULL AS LONG) AS last_alert", "true AS accepted")
+    messages = watched_pairs(pairs, watch, products, channels, min_pct, min_kr).unionByName(fed)
+    timed = messages.withColumn("time", F.timestamp_millis("at")).withWatermark("time", f"{lateness_ms} milliseconds")
+    alerts = due_alerts(timed, int((cooldown_hours or COOLDOWN_HOURS) * HOUR_MS), retry_ms, lateness_ms)
+    checkpoint = f"{root}/alerts-checkpoint"
+    named = query_id(spark, checkpoint)
+
+    def send(batch: DataFrame, number: int) -> None:
+        place = f"writer={named()}/batch={number}"
+        raised_at, sent_at = f"{root}/alerts/{place}", f"{root}/deliveries/{place}"
+        batch.write.mode("overwrite").parquet(raised_at)
+        raised = spark.read.schema(ALERT_SCHEMA).parquet(raised_at)
+        if not finished(spark, sent_at):
+            drop = [(F.col("old_price") - F.col("new_price")).alias("drop_kr"), drop_pct(F.col("old_price"), F.col("new_price")).alias("drop_pct")]
+            told = raised.select("*", *drop).join(products.select(F.col("id").alias("product_id"), "title", "url"), "product_id")
+            deliver_with(alert_messages(told, channels), deliver).write.mode("overwrite").parquet(sent_at)
+        sent = spark.read.parquet(sent_at).where("ok").select(*WATCH_KEY).distinct()
+        raised.join(sent, WATCH_KEY, "left_semi").select(*WATCH_KEY, "at").write.mode("append").parquet(f"{root}/accepted")
+
+    out = alerts.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
+    return out.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def raised_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """account_id, product_id, at, old_price, new_price, ok: every alert raised so far and whether a channel accepted it."""
+    raised = spark.read.schema(ALERT_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{root}/alerts")
+    accepted = spark.read.schema(ACCEPTED_SCHEMA).parquet(f"{root}/accepted").distinct().withColumn("ok", F.lit(True))
+    return raised.join(accepted, [*WATCH_KEY, "at"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))

@@ -61,10 +61,12 @@ def stream_row_results(
     now_ms: Clock,
     files_per_batch: int = 1,
     compact_after: int = COMPACT_AFTER,
+    within: str | None = None,
 ) -> StreamingQuery:
     """Consume JSON files of row results from ``source`` until none is left.
 
     ``now_ms`` is a time or a function that is asked once per batch. Lines that do not fit the schema go to the table ``rejects``.
+    With ``within`` (a time such as "2 days") messages that are delivered again count once.
     """
     writer = query_id(spark, checkpoint)
 
@@ -73,7 +75,7 @@ def stream_row_results(
         store.compact(compact_after)
 
     return (
-        json_lines(spark, source, MESSAGE_SCHEMA, files_per_batch)
+        json_lines(spark, source, MESSAGE_SCHEMA, files_per_batch, within)
         .writeStream.foreachBatch(work)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
