@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from conftest import NOW
 from varuvakt.schemas import TABLES
 from varuvakt.sources.snapshots import SnapshotStore
-from varuvakt.streaming import crawl_results, row_results
-from varuvakt.streaming.intake import query_id
+from varuvakt.streaming import crawl_results, price_drops, row_results
+from varuvakt.streaming.intake import once, query_id
+from varuvakt.streaming.throttle import throttle_stream
 from varuvakt.streaming.tick import Tables, tick
 
 
@@ -159,18 +160,141 @@ def test_tick_sends_each_message_once(spark, rows, tmp_path, describing):
     assert log.read_text() == "https://s\n"
 
 
-def test_price_stream_keeps_to_the_cooldown_and_asks_the_clock(spark, tmp_path, rows):
-    from varuvakt.streaming import price_drops
-
-    hour = 3_600_000
-    store = price_drops.open_store(spark, str(tmp_path / "s"))
-    store.create({n: spark.createDataFrame([], store.schemas[n]) for n in store.schemas})
-    watch = spark.createDataFrame([(1, 7, None, 0), (2, 7, NOW - hour, 0)], "account_id long, product_id long, last_alert long, created_at long")
-    products = spark.createDataFrame([(7, "t", "u")], "id long, title string, url string")
-    channels = spark.createDataFrame([(1, 1), (2, 1)], "account_id long, enabled int")
-    clock = iter([NOW, NOW + hour, NOW + 24 * hour, NOW + 25 * hour])
-    for batch, prices in enumerate([[5000, 4000], [3000], [2000], [1000]]):
-        points = spark.createDataFrame([(7, p, 10 * batch + k) for k, p in enumerate(prices)], "product_id long, price long, ts long")
-        points = points.select(*[F.col(c).cast(t).alias(c) for c, t in (p.split(" ") for p in TABLES["price_history"].split(", "))])
-        assert price_drops.apply_points(store, watch, products, channels, points, batch, lambda: next(clock))
-    assert rows(store.read("alerts"), "account_id", "new_price") == [(1, 2000), (1, 4000), (2, 2000)]
+HOUR = 3_600_000
+
+
+class PriceStream:
+    """Runs both queries of the price stream to their end at a given hour."""
+
+    def __init__(self, spark, folder, watch, refuse=()):
+        self.spark, self.root, self.refuse = spark, str(folder), folder / "refuse"
+        self.log = folder / "sent"
+        self.watch = spark.createDataFrame(watch, "account_id long, product_id long, last_alert long")
+        self.products = spark.createDataFrame([(7, "t", "u"), (8, None, "v")], "id long, title string, url string")
+        self.channels = spark.createDataFrame([(a, a, "slack", f"https://{a}", int(a != 9)) for a in range(1, 10)], "id long, account_id long, kind string, target string, enabled int")
+
+    def run(self, hour, *points, refuse=(), retry_ms=300_000):
+        rows = [(product, price, ts, NOW + hour * HOUR, message) for product, price, ts, message in points]
+        if rows:
+            self.spark.createDataFrame(rows, price_drops.POINT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/in")
+        log = str(self.log)
+
+        def deliver(kind, endpoint, headers, payload):
+            with open(log, "a") as out:
+                out.write(f"{hour} {endpoint}\n")
+            return endpoint not in refuse
+
+        price_drops.stream_pairs(self.spark, f"{self.root}/in", self.root).awaitTermination()
+        run = price_drops.stream_alerts(self.spark, self.root, self.watch, self.products, self.channels, deliver, retry_ms=retry_ms)
+        run.awaitTermination()
+        return run
+
+    def alerts(self):
+        got = price_drops.raised_alerts(self.spark, self.root).collect()
+        return sorted(((r["at"] - NOW) // HOUR, r["account_id"], r["product_id"], r["old_price"], r["new_price"], r["ok"]) for r in got)
+
+
+def test_price_stream_cooldown_starts_with_an_accepted_delivery(spark, tmp_path):
+    stream = PriceStream(spark, tmp_path, [(1, 7, None), (2, 7, NOW - HOUR), (3, 7, None), (9, 7, None), (1, 5, None)])
+    stream.run(0, (7, 5000, 1, "a"), (7, 4000, 2, "b"), (5, 9, 1, "x"), refuse={"https://3"})
+    assert stream.alerts() == [(0, 1, 7, 5000, 4000, True), (0, 3, 7, 5000, 4000, False)]
+    # A refused alert is raised again, by a new point or, without one, when another message moves the time on; the accepted one rests for a day.
+    stream.run(1, (7, 3000, 3, "c"), refuse={"https://3"})
+    stream.run(2, (8, 2, 3, "d"), (8, 1, 4, "e"))
+    assert stream.alerts()[2:] == [(1, 3, 7, 4000, 3000, False)]
+    stream.run(3, (7, 3000, 2, "late"), (7, 2000, 4, "f"))
+    assert stream.alerts()[3:] == [(3, 3, 7, 3000, 2000, True)]
+    # The pair rises: nothing stands when the cooldowns of accounts 1 and 2 end.
+    stream.run(26, (7, 2500, 5, "g"))
+    stream.run(27, (7, 1500, 6, "h"))
+    assert stream.alerts()[4:] == [(27, 1, 7, 2500, 1500, True), (27, 2, 7, 2500, 1500, True), (27, 3, 7, 2500, 1500, True)]
+    assert len(stream.log.read_text().split("\n")) == 1 + len(stream.alerts())
+
+
+def test_price_stream_asks_again_by_timer_and_forgets(spark, tmp_path):
+    stream = PriceStream(spark, tmp_path, [(1, 7, None), (2, 7, None), (3, 8, None)])
+    stream.run(0, (7, 5000, 1, "a"), (7, 4000, 2, "b"), refuse={"https://2"})
+    # Product 8 moves the time on for the watches of product 7: the refused alert after its wait, the standing drop after the cooldown.
+    stream.run(5, (8, 5000, 1, "c"), (8, 1, 2, "d"), refuse={"https://2"})
+    stream.run(25, (8, 5000, 3, "e"))
+    # Points that rise are passed on once, to end a drop.
+    assert stream.alerts() == [(0, 1, 7, 5000, 4000, True), (0, 2, 7, 5000, 4000, False), (5, 2, 7, 5000, 4000, False), (5, 3, 8, 5000, 1, True), (25, 1, 7, 5000, 4000, True), (25, 2, 7, 5000, 4000, True)]
+    stream.run(90, (7, 6000, 9, "f"), (8, 5100, 9, "g"))
+    run = stream.run(200, (8, 6000, 10, "h"), (8, 5000, 11, "i"))
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_price_stream_counts_redelivered_points_once(spark, tmp_path):
+    stream = PriceStream(spark, tmp_path, [(1, 7, None)])
+    stream.run(0, (7, 5000, 1, "a"), (7, 5000, 1, "a"))
+    stream.run(1, (7, 5000, 1, "a"), (7, 4000, 2, "b"))
+    stream.run(2, (7, 4000, 2, "b"))
+    # Counted again, the point of 4000 would hide the drop.
+    assert stream.alerts() == [(1, 1, 7, 5000, 4000, True)]
+    pairs = spark.read.schema(price_drops.PAIR_SCHEMA).parquet(f"{stream.root}/pairs")
+    assert [tuple(r) for r in pairs.collect()] == [(7, NOW + HOUR, 5000, 4000)]
+
+
+def test_price_stream_sends_a_stored_batch_once(spark, tmp_path):
+    stream = PriceStream(spark, tmp_path, [(1, 7, None)])
+    stream.run(0, (7, 5000, 1, "a"), (7, 4000, 2, "b"))
+    commits = sorted((tmp_path / "alerts-checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    # The last batches run again, as after a failure behind the sending.
+    for commit in commits:
+        commit.unlink()
+        (commit.parent / f".{commit.name}.crc").unlink(missing_ok=True)
+    stream.run(0)
+    assert stream.log.read_text() == "0 https://1\n" and stream.alerts() == [(0, 1, 7, 5000, 4000, True)]
+
+
+def test_redelivered_crawl_results_count_once(spark, tmp_path, rows):
+    jobs = [(1, "p1", 4, "detail", "leased", 1, NOW, None, 0, 0)]
+    message = {"job_id": 1, "ord": 1, "error": "fel", "message_id": "m", "sent_at": NOW}
+    for name, within, rejected in (("once", "1 day", 1), ("each", None, 1)):
+        folder = tmp_path / name
+        folder.mkdir()
+        store = crawl_results.open_store(spark, str(folder / "store"))
+        store.create({"render_jobs": spark.createDataFrame(jobs, TABLES["render_jobs"])})
+        for number in range(2):
+            (folder / "in").mkdir(exist_ok=True)
+            # The second delivery finds the job leased anew.
+            later = {"job_id": 1, "ord": 2, "error": "fel", "sent_at": NOW + 1000 * number}
+            (folder / "in" / f"{number}.json").write_text("\n".join([json.dumps(message), *(["nonsense"] if not number else []), *([json.dumps({**later, "job_id": 77})] * 2)]))
+            crawl_results.stream_crawl_results(spark, str(folder / "in"), store, str(folder / "cp"), NOW, within=within).awaitTermination()
+        assert len(rows(store.read("rejects"))) == rejected
+        assert store.pending_batches() != []
+    (tmp_path / "plain").mkdir()
+    source = spark.readStream.schema("a long, t long, id string").json(str(tmp_path / "plain"))
+    lines = [{"a": 1, "t": NOW, "id": "x"}, {"a": 1, "t": NOW, "id": "x"}, {"a": 2, "t": NOW}, {"a": 2, "t": NOW}, {"a": 3, "t": NOW}, {"a": 4, "id": "y"}]
+    put(tmp_path / "plain", "1.json", *lines)
+    told = once(source, F.timestamp_millis("t"), "id", "1 hour")
+    out = str(tmp_path / "told")
+
+    def go():
+        told.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out).awaitTermination()
+        return sorted(r["a"] for r in spark.read.parquet(out).collect())
+
+    assert go() == [1, 2, 3, 4]
+    # Again, late but within the hour, and too late.
+    put(tmp_path / "plain", "2.json", {"a": 9, "t": NOW + 2 * HOUR, "id": "z"}, lines[0])
+    assert go() == [1, 2, 3, 4, 9]
+    put(tmp_path / "plain", "3.json", {"a": 10, "t": NOW + HOUR + 60_000, "id": "late"}, {"a": 11, "t": NOW - HOUR, "id": "too late"})
+    assert go() == [1, 2, 3, 4, 9, 10]
+
+
+def test_throttle_stream_forgets_quiet_keys(spark, tmp_path, rows):
+    schema, minute = "bucket string, ip string, ts long, attempt_id long", 60_000
+
+    def run(name, *attempts):
+        spark.createDataFrame(attempts, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = throttle_stream(source, 2, 600).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    assert run("a", ("login", "x", 3 * minute, 3), ("login", "x", minute, 1), ("login", "x", 2 * minute, 2), ("login", "y", minute, 4)) == 2
+    # Eleven quiet minutes: x starts anew, y is forgotten.
+    assert run("b", ("login", "x", 14 * minute, 5)) == 1
+    assert run("c", ("other", "z", 100 * minute, 6), ("other", "z", 100 * minute, 7), ("other", "z", 100 * minute, 8)) == 1
+    got = rows(spark.read.parquet(str(tmp_path / "out")), "attempt_id", "allowed")
+    assert got == [(1, True), (2, True), (3, False), (4, True), (5, True), (6, True), (7, True), (8, False)]

@@ -2,7 +2,8 @@
 
 Two queries, joined by folders under one root:
 
-``stream_pairs``: points -> the two newest points of each product as state -> ``pairs``, one row per product and batch that brought points.
+``stream_pairs``: points -> the two newest points of each product as state -> ``pairs``, one row per batch for a product
+with new points whose newest pair is a drop, or was one before.
 ``stream_alerts``: pairs fanned out to their watches, and accepted deliveries -> per watch the standing drop, the time of its last accepted
 alert and of the one under way -> alerts -> messages -> ``deliver`` -> ``accepted``, which this query reads again.
 
@@ -36,6 +37,8 @@ ACCEPTED_SCHEMA = "account_id long, product_id long, at long"
 ALERT_SCHEMA = "account_id long, product_id long, at long, old_price long, new_price long"
 WATCH_STATE = "old_price long, new_price long, standing boolean, last_alert long, asked long"
 WATCH_KEY = ["account_id", "product_id"]
+#: Fields of a message by which a watch's rows are ordered and walked; of equal times an accepted delivery comes before a pair.
+WALKED = ["at", "pair", "old_price", "new_price", "standing", "last_alert"]
 
 NEVER = -(2**62)
 RETRY_MS = 300_000
@@ -57,19 +60,20 @@ def two_newest(points: DataFrame) -> DataFrame:
 
 
 def price_pairs(points: DataFrame) -> DataFrame:
-    """Streaming points -> product_id, at, old_price, new_price of every product with two points at least that had points in the batch."""
+    """Streaming points -> product_id, at, old_price, new_price of the products that had points in the batch and whose pair is a drop, or was one before."""
 
     def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, at = [], NEVER
+        held, at, fell = [], NEVER, False
         if state.exists:
             ts, price, ts_before, price_before, points = state.get
             held = [(ts, price), (ts_before, price_before)][:points]
+            fell = price < price_before
         for rows in batches:
             held = sorted([*held, *zip(rows["ts"].tolist(), rows["price"].tolist())], reverse=True)[:2]
             at = max(at, int(rows["at"].max()))
         first, second = held[0], held[-1]
         state.update((*first, *second, len(held)))
-        if len(held) == 2:
+        if first[1] < second[1] or fell:
             yield pd.DataFrame({"product_id": [key[0]], "at": [at], "old_price": [second[1]], "new_price": [first[1]]})
 
     return two_newest(points).groupBy("product_id").applyInPandasWithState(pair, PAIR_SCHEMA, PAIR_STATE, "append", GroupStateTimeout.NoTimeout)
@@ -86,7 +90,7 @@ def watched_pairs(pairs: DataFrame, watch: DataFrame, products: DataFrame, chann
         .join(known, "product_id", "left_semi")
         .join(watch.select(*WATCH_KEY, "last_alert"), "product_id")
         .join(reachable, "account_id", "left_semi")
-        .select(*WATCH_KEY, "at", "old_price", "new_price", "standing", "last_alert", F.lit(False).alias("accepted"))
+        .select(*WATCH_KEY, "at", "old_price", "new_price", "standing", F.coalesce("last_alert", F.lit(NEVER)).alias("last_alert"), F.lit(True).alias("pair"))
     )
 
 
@@ -113,16 +117,15 @@ def due_alerts(messages: DataFrame, cooldown_ms: int, retry_ms: int, lateness_ms
             now = state.getCurrentWatermarkMs() + lateness_ms
             look(now)
         else:
-            rows = pd.concat([rows.drop(columns="time") for rows in batches]).sort_values(["at", "accepted"], ascending=[True, False])
-            now = int(rows["at"].max())
-            for row in rows.itertuples():
-                if row.accepted:
-                    last = max(last, int(row.at))
-                    asked = NEVER if asked == row.at else asked
+            # Plain tuples: a watch has a row or two a batch, for which frames cost more than the work.
+            rows = sorted(row for part in batches for row in zip(*[part[c].tolist() for c in WALKED], strict=True))
+            now = rows[-1][0]
+            for at, pair, old_price, new_price, stands, alerted in rows:
+                if pair:
+                    old, new, standing, last = old_price, new_price, stands, max(last, alerted)
+                    look(at)
                 else:
-                    old, new, standing = int(row.old_price), int(row.new_price), bool(row.standing)
-                    last = last if pd.isna(row.last_alert) else max(last, int(row.last_alert))
-                    look(int(row.at))
+                    last, asked = max(last, at), NEVER if asked == at else asked
         cooled = last + cooldown_ms if last != NEVER else NEVER
         due = asked + retry_ms if asked != NEVER else cooled if cooled > now or standing else NEVER
         if due == NEVER:
@@ -171,7 +174,7 @@ def stream_alerts(
     """
     pairs = spark.readStream.schema(PAIR_SCHEMA).parquet(f"{root}/pairs")
     back = spark.readStream.schema(ACCEPTED_SCHEMA).parquet(_land(spark, f"{root}/accepted", ACCEPTED_SCHEMA))
-    fed = back.selectExpr(*WATCH_KEY, "at", "0L AS old_price", "0L AS new_price", "false AS standing", "CAST(NULL AS LONG) AS last_alert", "true AS accepted")
+    fed = back.selectExpr(*WATCH_KEY, "at", "0L AS old_price", "0L AS new_price", "false AS standing", f"{NEVER}L AS last_alert", "false AS pair")
     messages = watched_pairs(pairs, watch, products, channels, min_pct, min_kr).unionByName(fed)
     timed = messages.withColumn("time", F.timestamp_millis("at")).withWatermark("time", f"{lateness_ms} milliseconds")
     alerts = due_alerts(timed, int((cooldown_hours or COOLDOWN_HOURS) * HOUR_MS), retry_ms, lateness_ms)
