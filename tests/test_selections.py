@@ -1,7 +1,9 @@
+import re
+
 from pyspark.sql import functions as F
 
 from conftest import NOW
-from varuvakt.operators import channels, moderation, search, selections, stats
+from varuvakt.operators import channels, moderation, postings, search, selections, stats
 from varuvakt.schemas import TABLES
 
 PRODUCT = "id long, url string, title string, category string, current_price long, description string"
@@ -38,6 +40,40 @@ def test_bulk_adds_nothing_twice(spark, rows):
     assert rows(selections.bulk_dossier(items, products, [(7, "", "")], NOW), "product_id", "motivation") == [(i, "") for i in range(1, 6)]
 
 
+NEEDLES = ["ring", " RING ", "rö", "RÖD", "r", "%", "_", "_____", "%%r%t", "r_ng", "bu\\\\lt", "\\\\", "a%b", "50%", "a_b", "xyz", "ngr", "😀", "ring r", "", "ulta"]
+
+
+def titled(spark):
+    titles = ["Röd ring", "RING å", None, "bult", "Bu\\\\lt", "", "50% av", "a_b", "axxb", "ab", "ring ring ring", "r", "😀 ring", "multar", "bultar", "r%t"]
+    return spark.createDataFrame([(i, f"u{i}", t, ["A", "B", None, ""][i % 4], i, None) for i, t in enumerate(titles)], PRODUCT)
+
+
+def test_postings_find_what_a_scan_finds(spark, tmp_path):
+    products, root = titled(spark), str(tmp_path / "p")
+    postings.write_postings(products, root)
+    for needle in NEEDLES:
+        for category in ("", " A "):
+            want = [r.id for r in search.catalog_search(products, needle, 0, category).collect()]
+            assert [r.id for r in postings.catalog_search(products, root, needle, 0, category).collect()] == want, needle
+    assert postings.needle_grams("Ab%RING_xyz") == ["ing", "rin", "xyz"] and postings.candidates(spark, root, "ri") is None
+    plan = postings.candidates(spark, root, "multar")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*folder", plan) and re.search(r"PushedFilters: \[[^\]]*gram", plan)
+    postings.write_postings(products.limit(0), str(tmp_path / "empty"))
+    assert postings.catalog_search(products.limit(0), str(tmp_path / "empty"), "ring").count() == 0
+
+
+def test_bulk_of_a_table_equals_the_list(spark, rows):
+    products = titled(spark)
+    requests = [(account, needle, category) for account, (needle, category) in enumerate((n, c) for n in NEEDLES for c in ("", "A", " B ", "zz"))]
+    requests += [(1, "ring", ""), (1, "RING", ""), (900, None, None), (900, "ring", None)]
+    table = spark.createDataFrame(requests, "account_id long, q string, category string")
+    listed = [(a, q or "", c or "") for a, q, c in requests]
+    assert rows(selections.bulk_selection(products, table), "account_id", "product_id") == rows(selections.bulk_selection(products, listed), "account_id", "product_id")
+    watch = spark.createDataFrame([(900, 0, None, 5)], TABLES["price_watch"])
+    assert selections.bulk_watch(watch, products, table.where("account_id = 900"), NOW).count() == 15
+    assert selections.bulk_selection(products, table.limit(0)).count() == 0 and selections.bulk_selection(products.limit(0), table).count() == 0
+
+
 def test_single_watch_refuses_unknown_products(spark, rows):
     watch = spark.createDataFrame([(1, 1, 9, 5)], TABLES["price_watch"])
     asked = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, 77)], "account_id long, product_id long")

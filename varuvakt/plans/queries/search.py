@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varuvakt.functions.urls import safe_target_url
-from varuvakt.operators import channels, describe, search
+from varuvakt.operators import channels, describe, postings, search
 from varuvakt.plans.fixtures import Fixture
 from varuvakt.plans.registry import query
+from varuvakt.session import shared_dir
 
 # A channel request's target, padded, and an address space of test URLs.
 TARGETS = """
@@ -45,22 +46,31 @@ SELECT c_custkey AS account_id,
  TRIM({TARGETS.replace('STR', 'varchar')}) AS u FROM customer"""
 
 
-@query(
-    "catalog_search",
-    """WITH found AS (
+CALLS = {"title": (" RING ", 5, ""), "newest": ("", 0, "  "), "wild": ("E_ g", -3, "ECONOMY")}
+CATALOG_PAGES = """WITH found AS (
  (SELECT 'title' AS variant, id, url, title, current_price, description FROM products
   WHERE FOLD(title) LIKE '%ring%' ORDER BY id LIMIT 30 OFFSET 5)
  UNION ALL (SELECT 'newest', id, url, title, current_price, description FROM products ORDER BY id DESC LIMIT 30)
  UNION ALL (SELECT 'wild', id, url, title, current_price, description FROM products
   WHERE FOLD(title) LIKE '%e_ g%' AND category = 'ECONOMY' ORDER BY id LIMIT 30))
-SELECT * FROM found""",
-)
+SELECT * FROM found"""
+
+
+def pages(search_one) -> DataFrame:
+    found = [search_one(*args).withColumn("variant", F.lit(name)) for name, args in CALLS.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("catalog_search", CATALOG_PAGES)
 def _catalog_search(fx: Fixture) -> DataFrame:
-    calls = {"title": (" RING ", 5, ""), "newest": ("", 0, "  "), "wild": ("E_ g", -3, "ECONOMY")}
-    pages = [
-        search.catalog_search(fx.products, *args).withColumn("variant", F.lit(name)) for name, args in calls.items()
-    ]
-    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+    return pages(lambda *args: search.catalog_search(fx.products, *args))
+
+
+@query("catalog_search_postings", CATALOG_PAGES)
+def _catalog_search_postings(fx: Fixture) -> DataFrame:
+    root = shared_dir(fx.spark, "postings")
+    postings.write_postings(fx.products, root)
+    return pages(lambda *args: postings.catalog_search(fx.products, root, *args))
 
 
 @query(
