@@ -68,22 +68,24 @@ def smallest(rows: DataFrame, key: str, n: int, group: str | None = None) -> Dat
     return rows.where(near).withColumn(place, F.row_number().over(order)).where(F.col(place) <= n).drop(place)
 
 
-def sliced(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: hands ``work`` short pieces of each batch, cut by rows and by bytes of ``text``."""
+def sliced(
+    work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text", rows: int = SLICE_ROWS, most: int = SLICE_BYTES
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: hands ``work`` short pieces of each batch, cut by ``rows`` and by ``most`` bytes of ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in split_long(batch, text):
+            for piece in split_long(batch, text, rows, most):
                 yield work(piece)
 
     return run
 
 
-def split_long(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+def split_long(batch: pa.RecordBatch, text: str = "text", rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text))).to_pylist()
     start = held = 0
     for row, size in enumerate(sizes):
-        if row > start and (row - start >= SLICE_ROWS or held + (size or 0) > SLICE_BYTES):
+        if row > start and (row - start >= rows or held + (size or 0) > most):
             yield batch.slice(start, row - start)
             start, held = row, 0
         held += size or 0
