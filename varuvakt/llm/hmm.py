@@ -1,13 +1,14 @@
 """Scores of texts by a hidden Markov language model and by a smoothed unigram base.
 
 Words are counted over all training documents. The most frequent words are observations of their own; every other word
-is observed as the class of its last bytes and drawn inside the class by its own count. Baum-Welch runs over windows of all
-training texts: each task adds up its expected counts, the sums over tasks re-estimate the states. A text's score is
+is observed as the class of its last bytes and drawn inside the class by its own count. Baum-Welch starts from the counts of all
+training words with seeded noise and runs over windows of all training texts: each task adds up its expected counts, the sums over tasks re-estimate
+the states. A text's first window begins with the start probabilities, every other one with the states' long-run shares, so the
+move into a window (one in WINDOW) is left out of the counts. A text's score is
 exact: the scaled forward recursion is carried out as products of transfer matrices, window after window, and the in-class
 probabilities of its words come on top.
 
-Counts of the most frequent words (at most DICTIONARY) travel with the tasks; those of all others are joined. The starting point of
-Baum-Welch comes from a bounded sample of texts; its passes cover all training texts.
+Counts of the most frequent words (at most DICTIONARY, of at most LONGEST bytes each) travel with the tasks; those of all others are joined.
 
 Cases: a null or empty text is one end token. Rows without doc_id are held out. Repeated rows count and come back one by one.
 Without training documents all words are unknown and the states uniform. An empty table gives no rows; other columns are left behind.
@@ -25,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varuvakt.llm.common import smallest, split_long, stored, texts_of
+from varuvakt.llm.common import split_long, stored, texts_of
 
 STATES = 6
 OWN = 2048  # words that are observations of their own
 ENDINGS = 1024  # classes of all other words
 DICTIONARY = 65_536  # words whose counts travel with the tasks, at most
+LONGEST = 64  # bytes of such a word, at most
 WINDOW = 64
-PASSES = 2
-START_TEXTS, START_CHARS, START_PASSES = 400, 20_000, 15
+PASSES = 4
+#: Tokens whose windows are made at a time, or those of one text.
+STEP_TOKENS = 1 << 20
 ADDED = 0.1
 #: Distinct words after which a counting task hands on what it has; words a worker remembers.
 HELD, REMEMBERED = 200_000, 400_000
@@ -97,6 +100,7 @@ class Lexicon:
     inside: np.ndarray  # of a word inside its class; likewise
     known: np.ndarray
     classes: np.ndarray
+    seen: np.ndarray  # occurrences of each class in all training texts
 
     def codes(self) -> Codes:
         found = _CODES.get(self.total, self.distinct, self.words)
@@ -139,7 +143,7 @@ def lexicon(counts: DataFrame, documents: int) -> Lexicon:
     """counts: (word, c) of all training words; documents: training documents, each with one end."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + documents, distinct + (documents > 0)
-    top = sorted(frequent(counts, DICTIONARY).collect(), key=lambda r: (-r[1], r[0]))
+    top = sorted(frequent(counts.where(F.octet_length("word") <= LONGEST), DICTIONARY).collect(), key=lambda r: (-r[1], r[0]))
     words, c = [bytes(r[0]) for r in top], np.array([r[1] for r in top], np.float64)
     own = counts.sparkSession.createDataFrame([(w,) for w in words[:OWN]], "word binary")
     rest = counts.join(F.broadcast(own), "word", "left_anti")
@@ -164,7 +168,9 @@ def lexicon(counts: DataFrame, documents: int) -> Lexicon:
     classes[END] = CLASSES - 1
     base[END] += np.log10(documents + ADDED)
     known[END] = documents > 0
-    return Lexicon(words, int(total), int(distinct), base, inside, known, classes)
+    seen = np.r_[np.zeros(OWN), inside_total, documents]
+    seen[: min(n, OWN)] = c[:OWN]
+    return Lexicon(words, int(total), int(distinct), base, inside, known, classes, seen)
 
 
 @dataclass
@@ -192,34 +198,47 @@ def windows_of(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
     return out, owner, place
 
 
-def expected_counts(windows: np.ndarray, states: States) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One E step of Baum-Welch over windows taken as sequences of their own."""
+def shares(move: np.ndarray) -> np.ndarray:
+    """Long-run shares of the states."""
+    return np.linalg.matrix_power(move, 1 << 20).mean(0)
+
+
+def expected_counts(windows: np.ndarray, first: np.ndarray, states: States) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One E step of Baum-Welch over windows, of which ``first`` begin a text."""
     k = len(states.start)
     n, length = windows.shape
-    here = windows >= 0
-    emit = states.emit[np.maximum(windows, 0)] * here[:, :, None] + ~here[:, :, None]
-    alpha, scale = np.empty((length, n, k)), np.empty((length, n))
-    now = states.start * emit[:, 0]
+    here = np.ascontiguousarray(windows.T >= 0)
+    # Single precision: every step is scaled, and sums over windows are kept in double.
+    forth = states.move.astype(np.float32)
+    emit = states.emit.astype(np.float32)[np.maximum(windows.T, 0)]
+    emit[~here] = 1
+    whole = here.all(1)
+    alpha, scale = np.empty((length, n, k), np.float32), np.empty((length, n, 1), np.float32)
+    now = np.where(first[:, None], states.start, shares(states.move)).astype(np.float32) * emit[0]
     for t in range(length):
         if t:
-            now = np.where(here[:, t, None], (now @ states.move) * emit[:, t], now)
-        scale[t] = now.sum(1)
-        now = now / scale[t][:, None]
+            moved = (now @ forth) * emit[t]
+            now = moved if whole[t] else np.where(here[t, :, None], moved, now)
+        scale[t] = now.sum(1, keepdims=True)
+        now /= scale[t]
         alpha[t] = now
-    beta, move = np.ones((n, k)), np.zeros((k, k))
-    gamma = np.empty((length, n, k))
+    beta, move, back = np.ones((n, k), np.float32), np.zeros((k, k)), np.ascontiguousarray(forth.T)
+    gamma = np.empty((length, n, k), np.float32)
     for t in range(length - 1, -1, -1):
-        gamma[t] = alpha[t] * beta * here[:, t, None]
+        np.multiply(alpha[t], beta, out=gamma[t])
         if t:
-            ahead = emit[:, t] * beta / scale[t][:, None]
-            live = here[:, t, None]
-            move += (alpha[t - 1] * live).T @ ahead
-            beta = np.where(live, ahead @ states.move.T, beta)
+            ahead = emit[t] * beta / scale[t]
+            if whole[t]:
+                move += alpha[t - 1].T @ ahead
+                beta = ahead @ back
+            else:
+                live = here[t, :, None]
+                move += (alpha[t - 1] * live).T @ ahead
+                beta = np.where(live, ahead @ back, beta)
     move *= states.move
-    seen = windows.T[here.T]
-    weights = gamma[here.T]
+    seen, weights = windows.T[here], gamma[here]
     emitted = np.stack([np.bincount(seen, weights[:, j], CLASSES) for j in range(k)], 1)
-    return gamma[0].sum(0), move, emitted
+    return gamma[0][first].sum(0, dtype=np.float64), move, emitted
 
 
 def log_likelihoods(sequences: list[np.ndarray], states: States) -> np.ndarray:
@@ -258,56 +277,56 @@ def sequence(codes: Codes, words: list[bytes]) -> np.ndarray:
     return np.fromiter((*map(codes.__getitem__, words), END), np.int64, len(words) + 1)
 
 
-def starting_states(texts: list[bytes], known: Lexicon, states: int) -> States:
-    """Baum-Welch from a seeded random start over the sampled texts; states tend to stay."""
+def starting_states(known: Lexicon, states: int) -> States:
+    """Every state emits the classes as often as all training texts hold them, but for seeded noise; states tend to stay."""
     rng = np.random.default_rng(11)
-    codes = known.codes()
-    sequences = [known.classes[sequence(codes, t.lower().split())] for t in texts]
-    windows = windows_of(sequences)[0] if sequences else np.empty((0, WINDOW), np.int64)
-    share = np.bincount(windows[windows >= 0], minlength=CLASSES) + 0.05
-    emit = share[:, None] * rng.lognormal(0, 1, (CLASSES, states))
+    emit = (known.seen + 0.05)[:, None] * rng.lognormal(0, 1, (CLASSES, states))
     move = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * 0.9
-    model = normalised(np.ones(states), move * 1e3, emit)
-    for _ in range(START_PASSES if len(windows) else 0):
-        model = normalised(*expected_counts(windows, model))
-    return model
+    return normalised(np.ones(states), move * 1e3, emit)
 
 
-def baum_welch_pass(docs: DataFrame, known: Lexicon, model: States) -> States:
-    """One pass over all training documents; expected counts are added up by slot."""
-    k = len(model.start)
+def coded(docs: DataFrame, known: Lexicon) -> DataFrame:
+    """seq: the classes of each training document's tokens, which all passes read."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
-        codes = known.codes()
+        codes, small = known.codes(), known.classes.astype(np.int16)
         for batch in batches:
             for part in split_long(batch):
                 pairs = zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True)
-                sequences = [known.classes[sequence(codes, text.lower().split())] for doc_id, text in pairs if not held_out(doc_id)]
-                if sequences:
-                    windows = windows_of(sequences)[0]
-                    for at in range(0, len(windows), 4096):
-                        for total, more in zip((start, move, emit), expected_counts(windows[at : at + 4096], model), strict=True):
-                            total += more
-        flat = np.concatenate([start, move.ravel(), emit.ravel()])
-        slots = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(flat[slots])], names=["slot", "n"])
-
-    sums = texts_of(docs).mapInArrow(work, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    flat = np.zeros(k + k * k + CLASSES * k)
-    flat[sums["slot"].to_numpy(np.int64)] = sums["n"].to_numpy(np.float64)
-    return normalised(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(CLASSES, k))
+                sequences = [small[sequence(codes, text.lower().split())] for doc_id, text in pairs if not held_out(doc_id)]
+                ends = np.cumsum([0, *map(len, sequences)]).astype(np.int32)
+                flat = np.concatenate(sequences) if sequences else np.empty(0, np.int16)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["seq"])
 
+    return texts_of(docs).mapInArrow(work, "seq array<smallint>")
 
-def starting_texts(training: DataFrame) -> list[str]:
-    """Texts of the START_TEXTS documents with the smallest hash of doc_id, of equal ids the smallest text.
 
-    Ids are picked without their texts.
-    """
-    short = training.where(F.length("text") <= START_CHARS)
-    picked = stored(smallest(stored(short.select("doc_id").distinct(), "short-ids"), "doc_id", START_TEXTS), "starting-ids")
-    texts = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return [r["text"] for r in sorted(texts.collect(), key=lambda r: r["doc_id"])]
+def baum_welch_pass(rows: DataFrame, model: States) -> States:
+    """One pass over the sequences of all training documents; expected counts are added up by slot."""
+    k = len(model.start)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
+        for batch in batches:
+            lists = batch.column(0)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            at = 0
+            while at < len(lists):
+                upto = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP_TOKENS, side="right")) - 1)
+                windows, _, place = windows_of([flat[a:b] for a, b in zip(ends[at:upto], ends[at + 1 : upto + 1], strict=True)])
+                for first in range(0, len(windows), 4096):
+                    some = slice(first, first + 4096)
+                    for total, more in zip((start, move, emit), expected_counts(windows[some], place[some] == 0, model), strict=True):
+                        total += more
+                at = upto
+        sums = np.concatenate([start, move.ravel(), emit.ravel()])
+        slots = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(sums[slots])], names=["slot", "n"])
+
+    sums = rows.mapInArrow(work, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    flat = np.zeros(k + k * k + CLASSES * k)
+    flat[sums["slot"].to_numpy(np.int64)] = sums["n"].to_numpy(np.float64)
+    return normalised(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(CLASSES, k))
 
 
 def score(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFrame:
@@ -316,11 +335,12 @@ def score(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFr
     counts = stored(count_words(docs), "word-counts")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
     training = texts.where(F.col("doc_id").isNotNull() & (remainder != 0))
-    known = lexicon(counts, training.select("doc_id").count())
-    start = starting_texts(training)
-    model = starting_states([text.encode() for text in start], known, states)
-    for _ in range(passes if start else 0):
-        model = baum_welch_pass(docs, known, model)
+    documents = training.select("doc_id").count()
+    known = lexicon(counts, documents)
+    model = starting_states(known, states)
+    rows = stored(coded(docs, known), "sequences")
+    for _ in range(passes if documents else 0):
+        model = baum_welch_pass(rows, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = known.codes()
