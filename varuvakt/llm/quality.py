@@ -6,8 +6,8 @@ the share of good documents, and so gives each pattern a posterior.
 The posteriors are the labels of a logistic scorer on hashed words and signs, which decides. Where only silent texts are good, they are
 its good side; where one side has no texts with a doc_id, there is no scorer and the posteriors are the scores.
 
-Counts and posteriors cover all documents. The scorer learns from at most SAMPLE documents of each side, those
-with the smallest hash of their doc_id; whole texts are read everywhere.
+Counts and posteriors cover all documents. The scorer learns from at most SAMPLE different rows (doc_id and text) of each side, those
+with the smallest hash; whole texts are read everywhere.
 
 Cases: null and empty texts get no vote and no features, hence the scorer's bias, which is held at "keep".
 A corpus where no pattern is bad is kept as a whole. Repeated rows and rows without doc_id come
@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varuvakt.llm.common import fresh, sliced, smallest, stored, texts_of
@@ -154,13 +154,14 @@ def fit_scorer(ids: list[list[int]], values: list[list[float]], labels: list[flo
 
 
 def vote_patterns(docs: DataFrame) -> DataFrame:
-    """doc_id, pattern."""
+    """doc_id, row (see ``row_of``), pattern."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(t) for t in texts], pa.int32())], names=["doc_id", "pattern"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([votes(t) for t in texts], pa.int32())], names=["doc_id", "row", "pattern"])
 
-    return texts_of(docs).mapInArrow(sliced(work), "doc_id long, pattern int")
+    texts = texts_of(docs).withColumn("row", row_of(F.col("doc_id"), F.col("text")))
+    return texts.mapInArrow(sliced(work), "doc_id long, row long, pattern int")
 
 
 def posteriors(patterns: DataFrame) -> tuple[dict[int, float], float, np.ndarray]:
@@ -176,7 +177,17 @@ def posteriors(patterns: DataFrame) -> tuple[dict[int, float], float, np.ndarray
 
 def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, posterior (of the votes), score (the scorer's probability of good), keep."""
-    texts = texts_of(docs)
+    return judged(docs, sample).drop("row")
+
+
+def row_of(doc_id: Column, text: Column) -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(doc_id, text)
+
+
+def judged(docs: DataFrame, sample: int) -> DataFrame:
+    """``judge`` with ``row``, see ``row_of``."""
+    texts = texts_of(docs).withColumn("row", row_of(F.col("doc_id"), F.col("text")))
     voted = stored(vote_patterns(docs), "votes")
     posterior, _, _ = posteriors(voted)
     weights = None
@@ -185,7 +196,7 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         good = [0]
     if bad and good:
         sided = voted.where(F.col("pattern").isin(bad + good) & F.col("doc_id").isNotNull()).withColumn("good", F.col("pattern").isin(good))
-        picked = stored(smallest(sided, "doc_id", sample, "good"), "quality-sample")
+        picked = stored(smallest(sided.distinct(), "row", sample, "good"), "quality-sample")
         weights = _trained(texts, picked, posterior)
     trained = weights is not None
     worker_weights = weights.astype(np.float32) if trained else np.zeros(SLOTS, np.float32)
@@ -202,9 +213,10 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             else:
                 scores.append(labels[-1])
         kept = [s >= KEEP_AT for s in scores]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels), pa.array(scores), pa.array(kept)], names=["doc_id", "posterior", "score", "keep"])
+        columns = [batch.column(0), batch.column(2), pa.array(labels), pa.array(scores), pa.array(kept)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "posterior", "score", "keep"])
 
-    return texts.mapInArrow(sliced(work), "doc_id long, posterior double, score double, keep boolean")
+    return texts.mapInArrow(sliced(work), "doc_id long, row long, posterior double, score double, keep boolean")
 
 
 #: Slots of words a worker has met.
@@ -213,7 +225,7 @@ KNOWN: dict[bytes, tuple[int, ...]] = {}
 
 def _trained(texts: DataFrame, picked: DataFrame, posterior: dict[int, float]) -> np.ndarray | None:
     """Slots of the sampled documents, made where the texts are; the bounded sample of slots comes to the driver. None if one side has none."""
-    wanted = F.broadcast(picked.groupBy(F.col("doc_id").alias("__id")).agg(F.min("pattern").alias("pattern")))
+    wanted = F.broadcast(picked.select(F.col("row").alias("__row"), "pattern"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, weights = [], []
@@ -225,8 +237,9 @@ def _trained(texts: DataFrame, picked: DataFrame, posterior: dict[int, float]) -
             [batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], names=["doc_id", "pattern", "ids", "x"]
         )
 
-    rows = texts.join(wanted, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "pattern")
-    data = rows.mapInArrow(sliced(work), "doc_id long, pattern int, ids array<int>, x array<float>").toArrow().sort_by("doc_id")
+    # Copies of a sampled row are one, so what comes to the driver is the sample.
+    rows = texts.join(wanted, F.col("row") == F.col("__row")).dropDuplicates(["row"]).select("doc_id", "text", "pattern")
+    data = rows.mapInArrow(sliced(work), "doc_id long, pattern int, ids array<int>, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("pattern", "ascending")])
     labels = [posterior[p] for p in data.column("pattern").to_pylist()]
     if len({y >= 0.5 for y in labels}) < 2:
         return None
@@ -234,7 +247,8 @@ def _trained(texts: DataFrame, picked: DataFrame, posterior: dict[int, float]) -
 
 
 def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Rows of ``docs`` that the scorer keeps; of rows that share a doc_id all go if one goes. Rows without doc_id stay."""
+    """Rows of ``docs`` that the scorer keeps, each by its own text, also where rows share a doc_id. Rows without doc_id stay."""
     name = fresh(docs, "rejected")
-    rejected = stored(judge(docs, sample).where("NOT keep AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct(), "rejected")
-    return docs.join(rejected, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    rejected = stored(judged(docs, sample).where("NOT keep AND doc_id IS NOT NULL").select(F.col("row").alias(name)).distinct(), "rejected")
+    own = row_of(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    return docs.join(rejected, own == F.col(name), "left_anti")

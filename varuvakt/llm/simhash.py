@@ -61,13 +61,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, fp (the 64 bits as a signed long), print (a hash of the text, which tells rows of one doc_id apart)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in texts], pa.int64())], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in texts], pa.int64()), batch.column(2)], names=["doc_id", "fp", "print"])
 
-    return texts_of(docs).mapInArrow(sliced(work), "doc_id long, fp long")
+    rows = texts_of(docs).withColumn("print", F.xxhash64("text"))
+    return rows.mapInArrow(sliced(work), "doc_id long, fp long, print long")
 
 
 def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -78,13 +79,19 @@ def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """fp, root of the fingerprints of rows with doc_id; equal roots are one class."""
+    nodes = stored(rows.where("doc_id IS NOT NULL").select("fp", F.col("fp").alias("node")).distinct(), "fingerprint-nodes")
+    return nodes.join(components(links(nodes)), "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id (smallest linked doc_id)."""
     rows = stored(fingerprints(docs), "fingerprints")
-    nodes = stored(rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-nodes")
-    roots = components(links(nodes))
-    classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    joined = rows.join(classes, "fp", "left")
+    grouped = stored(classes(rows), "fingerprint-classes")
+    least = rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = grouped.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    joined = rows.join(grouped.join(named, "root").select("fp", "component_id"), "fp", "left")
     return joined.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -93,15 +100,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` of which one per group of near duplicates stays: that with the smallest doc_id.
+    """Rows of ``docs`` of which one per group of near duplicates stays: that with the smallest doc_id, then with the smallest hash of its text.
 
-    Of rows with the same doc_id the one with the smallest text stays; rows without doc_id stay as they are.
+    Rows of one doc_id with different texts are different documents; of rows with the same doc_id and text one stays. Rows
+    without doc_id stay as they are.
     """
-    keeper, rank = fresh(docs, "keeper"), fresh(docs, "rank")
-    keepers = stored(near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias(keeper)).distinct(), "keepers")
-    ranked = docs.join(keepers, F.col("doc_id").cast("long") == F.col(keeper), "left_semi")
-    first = ranked.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(rank) == 1).drop(rank)
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    keeper, mark = fresh(docs, "keeper"), fresh(docs, "print")
+    rows = stored(fingerprints(docs).where("doc_id IS NOT NULL"), "fingerprints")
+    least = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "print")).alias("least"))
+    first = classes(rows).join(least, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    keepers = stored(first.select(F.col("least.doc_id").alias(keeper), F.col("least.print").alias(mark)), "keepers")
+    marked = docs.where(F.col("doc_id").isNotNull()).withColumn(keeper, F.col("doc_id").cast("long")).withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = marked.join(keepers, [keeper, mark], "left_semi").dropDuplicates([keeper, mark]).drop(keeper, mark)
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def links(nodes: DataFrame) -> DataFrame:
