@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from varuvakt.llm.common import stored
@@ -13,18 +12,23 @@ from varuvakt.llm.simhash import one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected rows go, each by its own text; null and empty texts and rows without doc_id stay. No rows give no rows."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates stays; texts that share a doc_id are told apart; rows without doc_id stay."""
     return one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay, with the secrets taken out of their texts; null texts stay null."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
