@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -145,6 +146,21 @@ def test_simhash_tiles_and_dense_groups(spark, monkeypatch):
     assert {i: got.get(i, i) for i in ids} == want
 
 
+def test_simhash_abandons_looks_without_near_lanes():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 2**63, 130, dtype=np.uint64)
+    fps[70] = fps[3] ^ np.uint64(0b1011)
+    planes, lanes = simhash.bit_planes(fps), np.array([simhash.ALL, simhash.ALL, np.uint64(3)])
+    near = simhash._near(np.arange(130), fps, planes, lanes)
+    lane = np.unpackbits(near.view(np.uint8).reshape(130, -1), axis=1, bitorder="little")
+    assert list(zip(*np.nonzero(lane))) == [(3, 70), (70, 3)]
+    words = np.tile(np.arange(3), 130)
+    over = np.tile(~lanes, (130, 1))
+    over[np.arange(130), np.arange(130) >> 6] |= np.uint64(1) << (np.arange(130) & 63).astype(np.uint64)
+    _, abandoned = simhash.count_within(np.repeat(fps, 3), planes, words, over.ravel())
+    assert abandoned == 3 * 130 - 2  # all looks but the two that find something
+
+
 def test_fingerprints_follow_the_contract(spark, docs, texts, odd):
     got = by_id(fingerprint.fingerprints(docs))
     order = list(range(len(texts)))[::-1]
@@ -344,6 +360,26 @@ def test_secrets_are_taken_out_whole(spark):
     assert by_id(secrets.scan(df))[0]["spans"].startswith(f"private_key:7:{7 + len(secret[0])}")
 
 
+def test_many_secrets_in_one_text(spark):
+    many = "".join(f"token=abc{k:05d} é😀 " for k in range(20_000))
+    mixed = "password=AKIA" + "B" * 30 + " x " + "api_key: " + "0" * 30 + " AKIA" + "C" * 17 + "tail"
+    df = spark.createDataFrame([(0, many), (1, mixed), (2, "")], "doc_id long, text string")
+    started = time.monotonic()
+    got, clean = by_id(secrets.scan(df)), by_id(secrets.redact(df))
+    assert time.monotonic() - started < 40
+    want = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=[a-z0-9]+", many))
+    assert got[0]["spans"] == want and got[0]["n_assign"] == 20_000
+    assert clean[0]["text"] == re.sub(r"token=[a-z0-9]+", "[SECRET]", many)
+    assert clean[1]["text"] == "[SECRET] x [SECRET] [SECRET]tail" and clean[2]["text"] == ""
+
+
+def test_many_grants_in_one_text(spark):
+    text = "licensed under the apache license, version 2.0. see. " * 3000
+    row = licenses.scan(spark.createDataFrame([(0, text)], "doc_id long, text string")).first()
+    assert row["n_base"] == 3000 and row["first_word"] == 3 and row["labels"].split(",")[0] == "apache"
+    assert len(row["detections"]) >= 3000
+
+
 def test_license_phrases_equal_brute_force(spark, docs, texts, odd):
     got = by_id(licenses.scan(docs))
     for k, t in enumerate(texts):

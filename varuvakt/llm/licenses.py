@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from varuvakt.llm.common import ascii_lower, texts_of
 from varuvakt.llm.secrets import alternatives
-from varuvakt.llm.spans import bound, match_spans
+from varuvakt.llm.spans import bound, match_spans, running
 
 #: Fixed table of families: label, expression of the name.
 FAMILIES = (
@@ -171,14 +171,15 @@ def detections(lower: Column, gated: bool = True) -> Column:
     )
     classes = len(CONFIDENCE)
 
-    def sweep(acc: Column, d: Column) -> Column:
+    def sweep(reached: Column, d: Column) -> Column:
         # Ends reached so far by each class; whatever starts earlier or ends later has been seen.
-        inside = F.exists(F.slice(acc["ends"], 1, d["class"] + 1), lambda end: end >= -d["back"])
-        ends = F.transform(acc["ends"], lambda end, c: F.when(c == d["class"], F.greatest(end, -d["back"])).otherwise(end))
-        return F.struct(ends.alias("ends"), F.when(inside, acc["kept"]).otherwise(F.array_append(acc["kept"], d)).alias("kept"))
+        inside = F.exists(F.slice(reached, 1, d["class"] + 1), lambda end: end >= -d["back"])
+        ends = F.transform(reached, lambda end, c: F.when(c == d["class"], F.greatest(end, -d["back"])).otherwise(end))
+        return F.struct(ends.alias("state"), F.struct(d.alias("d"), (~inside).alias("kept")).alias("out"))
 
-    zero = F.struct(F.array(*[F.lit(-1)] * classes).alias("ends"), F.array().cast(DETECTION).alias("kept"))
-    return F.aggregate(F.array_sort(found), zero, sweep, lambda acc: acc["kept"])
+    one = DETECTION.removeprefix("array<").removesuffix(">")
+    swept = running(F.array_sort(found), F.array(*[F.lit(-1)] * classes), sweep, f"struct<d:{one},kept:boolean>")
+    return F.transform(F.filter(swept, lambda s: s["kept"]), lambda s: s["d"])
 
 
 def scan(docs: DataFrame, gated: bool = True) -> DataFrame:

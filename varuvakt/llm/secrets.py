@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varuvakt.llm.common import columns_of, fresh, stored, texts_of
-from varuvakt.llm.spans import match_spans, no_spans
+from varuvakt.llm.spans import bound, match_spans, no_spans, part_of, pieces_of, running
 
 #: A key up to its END line, none beginning or ending before it; without one, the header, its fields and the base64 lines that follow,
 #: of which the last may be short. Lines may be quoted, commented or joined by written-out line ends. Possessive loops do not recurse.
@@ -153,13 +153,17 @@ def redact(docs: DataFrame, rules=RULES) -> DataFrame:
     spans = fresh(docs, "spans")
     flat = F.array_sort(F.transform(F.flatten(spans), lambda s: F.struct(s["start"], s["end"])))
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when((s["start"] >= acc["at"]) & (s["end"] > acc["at"]), REDACTED).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between, mark).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(flat, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    def step(at: Column, s: Column) -> Column:
+        # What stands between the spans, and whether a mark follows it: a span inside earlier ones gets none.
+        cut = F.struct(at.alias("start"), F.greatest(s["start"] - at, F.lit(0)).alias("length"), ((s["start"] >= at) & (s["end"] > at)).alias("marked"))
+        return F.struct(F.greatest(at, s["end"]).alias("state"), cut.alias("out"))
+
+    end = F.struct(F.length("text").alias("start"), F.lit(0).alias("end"))  # the rest of the text, without a mark
+    cuts = running(F.concat(flat, F.array(end)), F.lit(0), step, "struct<start:int,length:int,marked:boolean>")
+    clean = bound(
+        pieces_of(F.col("text")),
+        lambda pieces: F.array_join(F.transform(cuts, lambda c: F.concat(part_of(pieces, c["start"], c["length"]), F.when(c["marked"], REDACTED).otherwise(""))), ""),
+    )
     rows = with_spans(docs, spans, rules)
     found = F.size(F.flatten(spans)) > 0
     changed = {"text": F.when(found, clean).otherwise(F.col("text"))}

@@ -6,9 +6,9 @@ words, repeats included; a bit is set where over half of the shingles' XXH64
 
 Search: of five blocks of bits, two at least are equal in every linked pair, so each of
 the ten pairs of blocks makes a table of buckets. Inside a bucket fingerprints
-lie as 64 bit planes; a query is compared with 64 of them by one word operation, its
-distances are counted in carry-save counters, and it is abandoned as soon as
-all its counters have passed the radius. Buckets over TILE fingerprints are split into
+lie as 64 bit planes; a query looks at 64 of them by one word operation, its
+distances are counted in carry-save counters, and a look is abandoned as soon as all
+its counters have passed the radius. Buckets over TILE fingerprints are split into
 tiles that are compared two by two, each pair in a group of its own. A group
 gives each member's link to the smallest one of its component, not all pairs.
 
@@ -158,27 +158,33 @@ def _edges(rows: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
-def count_within(queries: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """Bits of the lanes within RADIUS (3) of each query. planes: 64 x words, or 64 x queries x words where each query has its own."""
-    shape = (len(queries), planes.shape[-1])
-    ones, twos, over = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
-    alive, result = np.arange(len(queries)), np.zeros(shape, np.uint64)
-    own = planes.ndim == 3
+def count_within(queries: np.ndarray, planes: np.ndarray, word: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, int]:
+    """Per look: the lanes of word ``word`` of the planes within RADIUS (3) of the query, and how many looks were abandoned.
+
+    A look is one query at one word of 64 lanes. Lanes set in ``over`` (the query itself, empty or foreign lanes) count as
+    past the radius from the start, so a look ends as soon as no lane is left that could be near.
+    """
+    result, alive = np.zeros(len(queries), np.uint64), np.flatnonzero(over != ALL)
+    asked, word, over = queries[alive], word[alive], over[alive]
+    ones, twos = np.zeros_like(over), np.zeros_like(over)
+    abandoned = len(queries) - len(alive)
     for bit in range(64):
-        asked = np.where((queries[alive] >> np.uint64(bit)) & np.uint64(1), ALL, np.uint64(0))[:, None]
-        differs = (planes[bit][alive] if own else planes[bit][None, :]) ^ asked
+        differs = planes[bit][word] ^ (np.uint64(0) - ((asked >> np.uint64(bit)) & np.uint64(1)))
         carry = ones & differs
         ones ^= differs
         over |= twos & carry
         twos ^= carry
-        if bit % 8 == 7:
-            live = (over != ALL).any(1)
-            if not live.all():
-                alive, ones, twos, over = alive[live], ones[live], twos[live], over[live]
-                if not len(alive):
-                    return result
+        if bit % 4 == 3 and bit < 63:
+            live = over != ALL
+            left = int(np.count_nonzero(live))
+            if left == len(alive):
+                continue
+            abandoned += len(alive) - left
+            alive, asked, word, ones, twos, over = (x[live] for x in (alive, asked, word, ones, twos, over))
+            if not left:
+                break
     result[alive] = ~over
-    return result
+    return result, abandoned
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -190,12 +196,20 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
+def _near(queries: np.ndarray, fps: np.ndarray, planes: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    """queries x words: the lanes near to each of the ``queries`` (places in ``fps``), themselves left out."""
+    over = np.tile(~lanes, (len(queries), 1))
+    over[np.arange(len(queries)), queries >> 6] |= np.uint64(1) << (queries & 63).astype(np.uint64)
+    words = np.tile(np.arange(len(lanes)), len(queries))
+    return count_within(np.repeat(fps[queries], len(lanes)), planes, words, over.ravel())[0].reshape(over.shape)
+
+
 def _large_group(fps: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     planes, n = bit_planes(fps), len(fps)
     lanes = np.full(planes.shape[1], ALL)
     if n % 64:
         lanes[-1] = np.uint64((1 << (n % 64)) - 1)
-    near = np.concatenate([count_within(fps[at : at + 512], planes) for at in range(0, n, 512)]) & lanes
+    near = np.concatenate([_near(np.arange(at, min(at + 512, n)), fps, planes, lanes) for at in range(0, n, 512)])
     unseen, edges = lanes.copy(), []
     order = np.argsort(nodes, kind="stable")
     for seed in order:
@@ -232,8 +246,7 @@ def _small_groups(rows: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.
     planes = bit_planes(laid)
     first, count = np.repeat(lane, sizes).astype(np.uint64), np.repeat(sizes, sizes).astype(np.uint64)
     own = (ALL >> (np.uint64(64) - count)) << first
-    near = count_within(fps, planes[:, words][:, :, None])[:, 0] & own
-    near &= ~(np.uint64(1) << lanes.astype(np.uint64))
+    near, _ = count_within(fps, planes, words, ~own | (np.uint64(1) << lanes.astype(np.uint64)))
     hit = np.flatnonzero(near)
     bits = np.unpackbits(near[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     query, found = np.nonzero(bits)
