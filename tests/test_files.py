@@ -1,15 +1,17 @@
 import glob
 import io
+import os
 import random
 import time
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from varuvakt.operators import uploads
 from varuvakt.plans.office import document, workbook
 from varuvakt.schemas import TABLES
-from varuvakt.sources import exports, files
+from varuvakt.sources import exports, file_sinks, files
 
 
 def uploaded(spark, tmp_path, **contents):
@@ -94,13 +96,25 @@ def test_completion(spark, rows):
 
 def test_finished_files_are_byte_exact(spark, rows, tmp_path):
     _, headers, cells, results = jobs_world(spark)
-    whole = exports.job_files(uploads.job_output_lines(headers, cells, results))
-    written = exports.write_job_files(whole, str(tmp_path / "ut")).collect()
-    assert sorted(r.job_id for r in written) == [1, 3, 5]
+    lines = uploads.job_output_lines(headers, cells, results)
+    exports.write_job_files(lines, str(tmp_path / "ut"))
+    exports.write_job_files(lines, str(tmp_path / "ut"))
     content = (tmp_path / "ut" / "1_med_beskrivning.csv").read_bytes().decode()
     assert content == 'Site,Product,Beskrivning,Varför\r\n"a,b","q""r","rad\n1",v\r\nc,d,,'
     assert (tmp_path / "ut" / "5_med_beskrivning.csv").read_bytes().decode() == "Site,Product,Beskrivning,Varför"
-    assert len(glob.glob(str(tmp_path / "ut" / "*"))) == 3
+    assert sorted(os.listdir(tmp_path)) == ["ut"] and len(os.listdir(tmp_path / "ut")) == 3
+
+
+def test_long_job_and_failed_write(spark, tmp_path):
+    lines = spark.range(300_000).selectExpr("9L AS job_id", "299999 - id AS line_no", "concat('rad ', 299999 - id) AS line")
+    exports.write_job_files(lines, str(tmp_path / "ut"))
+    assert (tmp_path / "ut" / "9_med_beskrivning.csv").read_text() == "\n".join(f"rad {k}" for k in range(300_000))
+    assert (tmp_path / "ut" / "9_med_beskrivning.csv").read_bytes().count(b"\r\n") == 299_999
+    broken = lines.withColumn("line", F.expr("if(line_no = 7, raise_error('x'), line)"))
+    with pytest.raises(Exception):
+        exports.write_job_files(broken, str(tmp_path / "fel"))
+    exports.write_job_files(lines.limit(0), str(tmp_path / "tom"))
+    assert sorted(os.listdir(tmp_path)) == ["tom", "ut"] and os.listdir(tmp_path / "tom") == []
 
 
 def test_row_results_last_write_wins(spark, rows):
@@ -114,9 +128,12 @@ def test_product_export(spark, tmp_path):
     cols = "id long, url string, title string, current_price long, category string, description string, first_seen long, last_updated long"
     products = spark.createDataFrame([(2, "u2", 'a "b", c', None, None, "text", 1, 2), (1, "u1", None, 5, "k", None, 1, 2)], cols)
     table = exports.export_products(products)
-    exports.write_csv(table.coalesce(1), exports.PRODUCT_FIELDS, str(tmp_path / "csv"))
-    data = b"".join(open(f, "rb").read() for f in sorted(glob.glob(str(tmp_path / "csv" / "part*")))).decode()
+    exports.write_csv(table, exports.PRODUCT_FIELDS, str(tmp_path / "produkter.csv"))
+    data = (tmp_path / "produkter.csv").read_bytes().decode()
     assert data == 'id,url,title,current_price,category,has_description,first_seen,last_updated\r\n1,u1,,5,k,0,1,2\r\n2,u2,"a ""b"", c",,,1,1,2\r\n'
+    many = spark.range(5000).selectExpr("id", "concat('u', id) AS url").repartition(7).orderBy("id")
+    exports.write_csv(many, ("id", "url"), str(tmp_path / "alla.csv"))
+    assert (tmp_path / "alla.csv").read_bytes().decode() == "id,url\r\n" + "".join(f"{k},u{k}\r\n" for k in range(5000))
     exports.write_json(table.coalesce(1), str(tmp_path / "json"))
     schema = "id long, title string, has_description int"
     assert [tuple(r) for r in exports.read_ndjson(spark, str(tmp_path / "json"), schema).collect()] == [(1, None, 0), (2, 'a "b", c', 1)]
@@ -145,7 +162,7 @@ def test_uploads_become_jobs_and_move_on(spark, rows):
 
 
 def test_arrow_locations():
-    assert [exports.arrow_uri(u) for u in ("/a/b", "file:/a", "file:///a", "s3a://b/c", "hdfs://n/a")] == ["/a/b", "/a", "/a", "s3://b/c", "hdfs://n/a"]
+    assert [file_sinks.arrow_uri(u) for u in ("/a/b", "file:/a", "file:///a", "s3a://b/c", "hdfs://n/a")] == ["/a/b", "/a", "/a", "s3://b/c", "hdfs://n/a"]
 
 
 def test_many_doubled_quotes_and_nul(spark):

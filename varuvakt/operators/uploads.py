@@ -34,7 +34,10 @@ def job_list(jobs: DataFrame, limit: int = JOBS_PER_ACCOUNT) -> DataFrame:
 
 
 def queue_uploads(jobs: DataFrame, uploads: DataFrame, now_ms: int) -> DataFrame:
-    """New queued jobs for accepted files (account_id, path, filename, options, custom_direction)."""
+    """New queued jobs for accepted files (account_id, path, filename, options, custom_direction).
+
+    Where ``jobs`` has a column ``path``, a job carries the place of its file.
+    """
     stamp = F.lit(now_ms).cast("long")
     given = {c: F.col(c) for c in ("account_id", "filename", "options", "custom_direction")}
     set_values = {"status": F.lit("queued"), "total": F.lit(0), "succeeded": F.lit(0), "created_at": stamp, "updated_at": stamp}
@@ -44,7 +47,7 @@ def queue_uploads(jobs: DataFrame, uploads: DataFrame, now_ms: int) -> DataFrame
         *[
             values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
             for f in jobs.schema
-            if f.name != "id"
+            if f.name not in ("id", "path")
         ],
     )
     return with_new_ids(fresh, jobs, "id", ["path"]).select(*jobs.columns)

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from varuvakt.functions.text import csv_line
 from varuvakt.operators import uploads
+from varuvakt.operators.uploads import OUTPUT_SUFFIX
 from varuvakt.plans.fixtures import NOW_MS, Fixture
 from varuvakt.plans.office import document, workbook
 from varuvakt.plans.registry import query
+from varuvakt.session import shared_dir
 from varuvakt.sources import files
+from varuvakt.sources.exports import write_job_files
 
 ROWS_PER_FILE = 500
 # Uploaded rows as cells, cut into files of at most ROWS_PER_FILE rows; one line per row, so line ends become blanks.
@@ -220,17 +223,21 @@ def _job_output_csv(fx: Fixture) -> DataFrame:
     return output_lines(fx)
 
 
+def written_files(fx: Fixture, location: str) -> DataFrame:
+    """(job_id, length, content) of the files written there."""
+    found = fx.spark.read.format("binaryFile").load(location)
+    return found.select(F.regexp_extract("path", rf"(\d+){OUTPUT_SUFFIX}$", 1).cast("long").alias("job_id"), "length", "content")
+
+
 @query(
     "job_output_files",
     f"""WITH {OUTPUT_LINES}
 SELECT job_id, strlen(string_agg(line, chr(13) || chr(10) ORDER BY line_no)) AS bytes FROM lines GROUP BY job_id""",
 )
 def _job_output_files(fx: Fixture) -> DataFrame:
-    from varuvakt.session import shared_dir
-    from varuvakt.sources.exports import job_files, write_job_files
-
-    written = write_job_files(job_files(output_lines(fx)), shared_dir(fx.spark, "job-files"))
-    return written.select("job_id", "bytes")
+    location = shared_dir(fx.spark, "job-files")
+    write_job_files(output_lines(fx), location)
+    return written_files(fx, location).select("job_id", F.col("length").alias("bytes"))
 
 
 WORKLIST = """

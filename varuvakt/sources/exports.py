@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varuvakt.functions.text import csv_line
 from varuvakt.operators.uploads import OUTPUT_SUFFIX
+from varuvakt.sources.file_sinks import CsvFile, JobFiles
 
+# The fields of the exports, in their order.
 PRODUCT_FIELDS = (
     "id", "url", "title", "current_price", "category", "has_description", "first_seen", "last_updated",
 )
@@ -34,66 +31,24 @@ def csv_lines(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, fields: tuple[str, ...], location: str) -> None:
-    """CSV with CRLF line ends; each part file starts with the header."""
-    header = ",".join(fields)
-    named = csv_lines(rows, fields).withColumnRenamed("value", header)
-    # The line is already quoted; the writer must neither quote nor escape again.
-    named.write.option("header", "true").option("quote", "\u0000").option("escapeQuotes", "false").option(
-        "sep", "\u0001"
-    ).option("lineSep", "\r\n").option("emptyValue", "").csv(location)
+    """One CSV file ``location`` in the row order of the input, under one header; every line ends with CRLF."""
+    rows.sparkSession.dataSource.register(CsvFile)
+    csv_lines(rows, fields).write.format("csv_file").mode("append").option("header", ",".join(fields)).save(location)
 
 
 def write_json(rows: DataFrame, location: str) -> None:
     rows.write.option("ignoreNullFields", "false").json(location)
 
 
-def job_files(lines: DataFrame) -> DataFrame:
-    """(job_id, content): the whole CSV text of each finished job, CRLF between lines, none at the end.
-
-    A job stems from one upload of at most 50 MiB, so gathering its lines in one
-    row is bounded by that cap. Jobs spread over tasks.
-    """
-    entries = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-    return lines.groupBy("job_id").agg(
-        F.array_join(F.transform(entries, lambda entry: entry.getField("line")), "\r\n").alias("content")
-    )
-
-
-def arrow_uri(location: str) -> str:
-    """A Spark location as Arrow's file systems spell it."""
-    if location.startswith("s3a://"):
-        return "s3://" + location.removeprefix("s3a://")
-    if location.startswith("file:/"):
-        return "/" + location.removeprefix("file:").lstrip("/")
-    return location
-
+def write_job_files(lines: DataFrame, location: str) -> None:
+    """Write ``<location>/<job_id>_med_beskrivning.csv`` for each job of (job_id, line_no, line): CRLF between lines, none at the end.
 
-def write_job_files(files: DataFrame, location: str) -> DataFrame:
-    """Write ``<location>/<job_id>_med_beskrivning.csv`` per job; returns (job_id, path, bytes) when run.
-
-    Spark's text writer always ends a file with a line separator, which this
-    format must not have, so tasks write through Arrow's file systems. A file
-    appears under its name only when complete; a retried task writes the same bytes.
+    Lines are sorted outside memory and streamed; a job is written by one task, jobs spread over tasks. A file that is
+    there already is replaced by one with the same name.
     """
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, root = fs.FileSystem.from_uri(arrow_uri(location))
-        filesystem.create_dir(root, recursive=True)
-        for batch in batches:
-            paths, sizes = [], []
-            for job_id, content in zip(batch["job_id"], batch["content"]):
-                final = f"{root}/{job_id}{OUTPUT_SUFFIX}"
-                partial = f"{final}.{uuid.uuid4().hex}"
-                data = content.encode("utf-8")
-                with filesystem.open_output_stream(partial) as out:
-                    out.write(data)
-                filesystem.move(partial, final)
-                paths.append(final)
-                sizes.append(len(data))
-            yield pd.DataFrame({"job_id": batch["job_id"], "path": paths, "bytes": sizes})
-
-    kind = files.schema["job_id"].dataType.simpleString()
-    return files.select("job_id", "content").mapInPandas(write, f"job_id {kind}, path string, bytes long")
+    lines.sparkSession.dataSource.register(JobFiles)
+    ordered = lines.repartition("job_id").sortWithinPartitions("job_id", "line_no").select("job_id", "line")
+    ordered.write.format("job_files").mode("append").option("suffix", OUTPUT_SUFFIX).save(location)
 
 
 def to_ndjson(rows: DataFrame) -> DataFrame:
