@@ -1,4 +1,3 @@
-import glob
 import io
 import os
 import random
