@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,22 @@ def test_snapshots_of_several_writers(spark, tmp_path, rows):
     assert rows(again.read("log")) == [] and rows(again.read("t")) == [(1, "c"), (2, "d"), (3, "g")]
 
 
+def test_lookups_read_the_folders_of_their_keys(spark, tmp_path, rows):
+    store = SnapshotStore(spark, str(tmp_path / "s"), {"t": "k long, v string", "log": "x int, y long"}, {"t": ["k"], "log": None}, {"t": "k", "log": "x"}, buckets=32)
+    store.create({"t": spark.range(500).selectExpr("id AS k", "concat('v', id) AS v"), "log": spark.range(900).selectExpr("cast(if(id < 600, 7, id) AS int) AS x", "id AS y")})
+    store.commit(0, {"t": spark.createDataFrame([(3, "neu"), (900, "neu")], "k long, v string"), "log": spark.createDataFrame([(7, -1)], "x int, y long")})
+    keys = spark.createDataFrame([(3,), (41,), (900,), (None,)], "k int")
+    for _ in range(2):
+        found = store.lookup("t", keys)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[(isnotnull\()?_bucket", plan) and found.count() < 150
+        assert rows(found.join(keys, "k", "left_semi")) == [(3, "neu"), (41, "v41"), (900, "neu")]
+        assert store.read("t").count() == 501 and store.lookup("t", keys.limit(0)).join(keys, "k").where("k = 41").count() == 0
+        hot = store.lookup("log", spark.createDataFrame([(7,)], "x long")).where("x = 7")
+        assert hot.count() == 601 and store.lookup("log", keys.selectExpr("k AS y")).count() == 901
+        store.compact()
+
+
 def test_streams_keep_unreadable_lines(spark, tmp_path, rows):
     store = row_results.open_store(spark, str(tmp_path / "store"))
     store.create({"jobs": spark.createDataFrame([(1, 7, "processing", "f.csv", None, None, "", 1, 0, None, 0, 0)], TABLES["jobs"])})

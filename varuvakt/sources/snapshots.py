@@ -9,20 +9,28 @@ readable. The store counts its versions itself; the commit file also names the
 writer and the writer's own batch number, so a batch that is delivered again is
 skipped, while another stream, or one with a new checkpoint, may start at zero.
 One writer commits at a time.
+
+A base may be laid out by a column: its rows lie in folders by a hash of that column, and a
+batch that looks up some keys reads the folders of these keys only. A folder that outgrows a task
+is written by several.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BEFORE_ANY_BATCH = -1
+#: Folders of a base that is laid out by a column, and the column of their number.
+BUCKETS, BUCKET = 256, "_bucket"
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keys: dict[str, list[str] | None]):
-        """``keys[name]`` is the table's key, or None for an append-only table."""
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keys: dict[str, list[str] | None], layout: dict[str, str] | None = None, buckets: int = BUCKETS):
+        """``keys[name]`` is the table's key, or None for an append-only table; ``layout[name]`` the column its base is laid out by."""
         self.spark, self.root, self.schemas, self.keys = spark, root.rstrip("/"), schemas, keys
+        self.layout, self.buckets = layout or {}, buckets
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._staged: set[tuple[str, int]] = set()
@@ -90,9 +98,31 @@ class SnapshotStore:
             self._write("base", max(pending), {name: self.read(name) for name in self.schemas})
             self._mark(f"base={max(pending)}")
 
-    def read(self, name: str) -> DataFrame:
-        """Current rows of a table: per key the image of the newest batch."""
-        current = self._load(name, [f"base={self.base_batch()}"])
+    def lookup(self, name: str, wanted: DataFrame) -> DataFrame:
+        """Current rows that may have a value of the only column of ``wanted`` in the column the table is laid out by.
+
+        The folders to read are told by at most ``buckets`` numbers; tables without that layout are read whole.
+        """
+        if self.layout.get(name) != wanted.columns[0]:
+            return self.read(name)
+        numbers = wanted.select(self._bucket(name).alias(BUCKET)).distinct().collect()
+        return self.read(name, sorted(row[0] for row in numbers))
+
+    def _bucket(self, name: str) -> Column:
+        column = self.layout[name]
+        kind = StructType.fromDDL(self.schemas[name])[column].dataType
+        return F.pmod(F.xxhash64(F.col(column).cast(kind)), F.lit(self.buckets)).cast("int")
+
+    def _base(self, name: str, buckets: list[int] | None) -> DataFrame:
+        folder = f"{self.root}/{name}/base={self.base_batch()}"
+        if name not in self.layout:
+            return self.spark.read.schema(self.schemas[name]).parquet(folder)
+        rows = self.spark.read.schema(f"{self.schemas[name]}, {BUCKET} int").parquet(folder)
+        return (rows if buckets is None else rows.where(F.col(BUCKET).isin(buckets))).drop(BUCKET)
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """Current rows of a table: per key the image of the newest batch. With ``buckets`` only these folders of the base are read."""
+        current = self._base(name, buckets)
         folders = [f"batch={b}" for b in self.pending_batches() if self._fs.exists(self._path(f"{self.root}/{name}/batch={b}"))]
         if not folders:
             return current
@@ -112,7 +142,12 @@ class SnapshotStore:
 
     def _write(self, kind: str, number: int, tables: dict[str, DataFrame]) -> None:
         for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.root}/{name}/{kind}={number}")
+            location = f"{self.root}/{name}/{kind}={number}"
+            if kind == "base" and name in self.layout:
+                # Rebalanced, so that a folder with many rows is split over tasks.
+                rows.withColumn(BUCKET, self._bucket(name)).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(location)
+            else:
+                rows.write.mode("overwrite").parquet(location)
 
     def _load(self, name: str, folders: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schemas[name]).parquet(*[f"{self.root}/{name}/{f}" for f in folders])

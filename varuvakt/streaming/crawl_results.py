@@ -18,17 +18,19 @@ from varuvakt.operators.crawl import (
     with_jobs,
 )
 from varuvakt.schemas import CRAWL_RESULT, TABLES
-from varuvakt.sources.snapshots import SnapshotStore
+from varuvakt.sources.snapshots import BUCKETS, SnapshotStore
 from varuvakt.streaming.clock import Clock, read_clock
 from varuvakt.streaming.intake import COMPACT_AFTER, REJECT_SCHEMA, json_lines, query_id, split_rejects
 
 NAMES = ("products", "price_history", "render_jobs")
 
 
-def open_store(spark: SparkSession, root: str) -> SnapshotStore:
+def open_store(spark: SparkSession, root: str, buckets: int = BUCKETS) -> SnapshotStore:
+    """``buckets``: folders of each laid-out base; choose them so that one holds a few files of a task's size."""
     keys = {"products": ["url"], "price_history": None, "render_jobs": ["id"]}
     schemas = {n: TABLES[n] for n in NAMES} | {"rejects": REJECT_SCHEMA}
-    return SnapshotStore(spark, root, schemas, keys | {"rejects": None})
+    layout = {"products": "url", "price_history": "product_id", "render_jobs": "id"}
+    return SnapshotStore(spark, root, schemas, keys | {"rejects": None}, layout, buckets)
 
 
 def changed_tables(
@@ -38,18 +40,25 @@ def changed_tables(
     results: DataFrame,
     now_ms: int,
     keep: Callable[[str, DataFrame], DataFrame] = lambda name, rows: rows,
+    lookup: Callable[[str, DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Rows of the three tables that a batch of results adds or replaces.
 
     The tables are first narrowed to what the batch touches, so the work beyond
-    one scan per table grows with the batch. ``keep`` may store a named
-    intermediate result that is used several times.
+    that grows with the batch. ``keep`` may store a named intermediate result that is used several times;
+    ``lookup(name, keys)`` may give fewer rows than the whole table, as long as all rows of ``keys`` (of one column) are
+    among them. Whole columns are read only for the largest ids and for the jobs of found links.
     """
-    reported = keep("reported", jobs.join(results.select(F.col("job_id").alias("id")), "id", "left_semi"))
+    whole = dict(zip(NAMES, (products, history, jobs), strict=True))
+
+    def touched_by(name: str, keys: DataFrame) -> DataFrame:
+        return (lookup(name, keys) if lookup else whole[name]).join(keys, keys.columns[0], "left_semi")
+
+    reported = keep("reported", touched_by("render_jobs", results.select(F.col("job_id").alias("id"))))
     known = keep("known", with_jobs(results, reported))
     details, links, items = flatten_results(known)
     urls = details.select("url").unionByName(links.select("url")).unionByName(items.select("url")).distinct()
-    touched = keep("touched", products.join(urls, "url", "left_semi"))
+    touched = keep("touched", touched_by("products", urls))
     after = keep("products", apply_crawl_batch(touched, details, links, items, now_ms, ids_after=products))
 
     ids = after.select("url", F.col("id").alias("product_id"))
@@ -57,7 +66,7 @@ def changed_tables(
     detail_place = F.struct("ord", F.lit(0).alias("kind"), F.lit(0).alias("pos"))
     offered = items.join(ids, "url").select("product_id", "price", item_place.alias("ord"))
     seen = details.join(ids, "url").select("product_id", "price", detail_place.alias("ord"))
-    priced = keep("history", history.join(ids, "product_id", "left_semi"))
+    priced = keep("history", touched_by("price_history", ids.select("product_id")))
     points = detail_history(details, after, now_ms).unionByName(list_history(offered, priced, now_ms, seen))
 
     failed = blank_to_null(F.col("error")).isNotNull()
@@ -100,7 +109,7 @@ def apply_results(store: SnapshotStore, results: DataFrame, batch: int, now_ms:
 
     try:
         readable, rejects = split_rejects(kept[0])
-        changes = changed_tables(*[store.read(n) for n in NAMES], readable, now, keep)
+        changes = changed_tables(*[store.read(n) for n in NAMES], readable, now, keep, store.lookup)
         del changes["products"]
         return store.commit(batch, changes | rejects, writer)
     finally:

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from varuvakt.operators.uploads import ROW_KEY, job_completion, merge_row_results
 from varuvakt.schemas import TABLES
-from varuvakt.sources.snapshots import SnapshotStore
+from varuvakt.sources.snapshots import BUCKETS, SnapshotStore
 from varuvakt.streaming.clock import Clock, read_clock
 from varuvakt.streaming.intake import COMPACT_AFTER, REJECT_SCHEMA, json_lines, query_id, split_rejects
 
@@ -15,9 +15,10 @@ RESULT_SCHEMA = "job_id long, row_index long, beskrivning string, varfor string"
 MESSAGE_SCHEMA = "job_id long, row_index long, ord long, beskrivning string, varfor string"
 
 
-def open_store(spark: SparkSession, root: str) -> SnapshotStore:
+def open_store(spark: SparkSession, root: str, buckets: int = BUCKETS) -> SnapshotStore:
+    """``buckets``: folders of each laid-out base; choose them so that one holds a few files of a task's size."""
     schemas = {"jobs": TABLES["jobs"], "results": RESULT_SCHEMA, "rejects": REJECT_SCHEMA}
-    return SnapshotStore(spark, root, schemas, {"jobs": ["id"], "results": ROW_KEY, "rejects": None})
+    return SnapshotStore(spark, root, schemas, {"jobs": ["id"], "results": ROW_KEY, "rejects": None}, {"jobs": "id", "results": "job_id"}, buckets)
 
 
 def apply_row_results(
@@ -38,8 +39,8 @@ def apply_row_results(
 
 
 def _changes(store: SnapshotStore, headers: DataFrame, rows: DataFrame, messages: DataFrame, now_ms: int) -> dict[str, DataFrame]:
-    jobs, results = store.read("jobs"), store.read("results")
     named = messages.select("job_id").distinct()
+    jobs, results = store.lookup("jobs", named.withColumnRenamed("job_id", "id")), store.lookup("results", named)
     keys = messages.select(*ROW_KEY).distinct()
     merged = store.stage("results", merge_row_results(results.join(keys, ROW_KEY, "left_semi"), messages))
 
