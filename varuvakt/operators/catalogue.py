@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varuvakt.operators.merge import absent, first_seen_value, fold, last_known, upsert, with_new_ids
+from varuvakt.operators.merge import first_seen_value, fold, insert_rows, last_known, upsert
+from varuvakt.session import written
 
 
 def _keep_known(col: str) -> Column:
@@ -58,14 +59,9 @@ def ingest_products(products: DataFrame, rows: DataFrame, now_ms: int) -> DataFr
 
 def upsert_link_stubs(products: DataFrame, links: DataFrame, now_ms: int) -> DataFrame:
     """Bare urls become product stubs; known urls are left alone."""
-    folded = fold(links, ["url"], "ord", first_cols=["site_id"])
-    fresh = absent(folded, products, ["url"]).select(
-        "url",
-        F.col("site_id").cast("long").alias("site_id"),
-        F.lit(now_ms).cast("long").alias("first_seen"),
-        F.lit(now_ms).cast("long").alias("last_updated"),
-    )
-    return products.unionByName(with_new_ids(fresh, products, "id", ["url"]), allowMissingColumns=True)
+    folded = written(fold(links, ["url"], "ord", first_cols=["site_id"]), "changes")
+    values = {"url": F.col("url"), "site_id": F.col("site_id"), "first_seen": F.lit(now_ms), "last_updated": F.lit(now_ms)}
+    return products.unionByName(insert_rows(products, folded, ["url"], values, id_col="id"))
 
 
 def apply_crawl_batch(

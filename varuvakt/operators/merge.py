@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varuvakt.session import written
+
 # Number of hash buckets dense ids are handed out from; three hex digits of MD5.
 ID_BUCKETS = 16**3
 HOT_KEYS_MAX = 10_000
@@ -84,6 +86,21 @@ def prefixed(df: DataFrame, keys: Sequence[str], prefix: str = "new_") -> DataFr
     return df.select(*[F.col(c) if c in keys else F.col(c).alias(prefix + c) for c in df.columns])
 
 
+def known_keys(base: DataFrame, changes: DataFrame, keys: Sequence[str], id_col: str | None = None) -> DataFrame:
+    """The keys of ``changes`` (unique) that ``base`` holds, and one row (``_known`` NULL) for all other rows of ``base``.
+
+    One narrow pass over ``base``: rows without a change fold into a single group before the shuffle, so what is shuffled
+    has the size of the batch. ``_top`` is the largest id of each group, the maximum over all groups that of the table. The
+    result is stored, as a filter on it would otherwise be pushed into a second pass over ``base``.
+    """
+    keys = list(keys)
+    marked = changes.select(*keys, F.lit(True).alias("_known"))
+    seen = base.select(*dict.fromkeys([*keys, *([id_col] if id_col else [])])).join(marked, keys, "left")
+    top = F.max(id_col) if id_col else F.lit(None)
+    groups = seen.groupBy(*[F.when(F.col("_known"), F.col(k)).alias(k) for k in keys], "_known")
+    return written(groups.agg(top.cast("long").alias("_top")), "known")
+
+
 def upsert(
     base: DataFrame,
     folded: DataFrame,
@@ -98,34 +115,52 @@ def upsert(
     ``assignments`` see the folded columns as ``new_*``; ``insert_values`` see
     them under their own names. Columns of ``base`` with no insert value become
     NULL. New ids follow those of ``ids_after``, the whole table when ``base`` is
-    only a part of it.
+    only a part of it. The folded batch is stored first, as it meets the table twice: in the
+    update and in one narrow pass that finds the known keys and the largest id.
     """
+    keys = list(keys)
+    folded = written(folded, "changes")
     updated = update_existing(base, prefixed(folded, keys), keys, assignments)
-    fresh = absent(folded, base, keys)
-    cols = []
-    for field in base.schema:
-        if field.name == id_col:
-            continue
-        if field.name in insert_values:
-            value = insert_values[field.name]
-        elif field.name in keys:
-            value = F.col(field.name)
-        else:
-            value = F.lit(None)
-        cols.append(value.cast(field.dataType).alias(field.name))
-    inserted = fresh.select(*cols)
-    if id_col:
-        inserted = with_new_ids(inserted, base if ids_after is None else ids_after, id_col, list(keys))
+    values = {k: F.col(k) for k in keys} | insert_values
+    inserted = insert_rows(base, folded, keys, values, id_col, ids_after)
     return updated.unionByName(inserted)
 
 
+def insert_rows(
+    base: DataFrame,
+    changes: DataFrame,
+    keys: Sequence[str],
+    values: dict[str, Column],
+    id_col: str | None = None,
+    ids_after: DataFrame | None = None,
+) -> DataFrame:
+    """The rows ``base`` gets for the keys of ``changes`` (unique) it does not hold, in the columns of ``base``.
+
+    Columns without a value are NULL; ids as in ``upsert``.
+    """
+    probe = known_keys(base, changes, keys, id_col if ids_after is None else None)
+    fresh = changes.join(probe.filter("_known"), list(keys), "left_anti")
+    inserted = fresh.select(
+        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in base.schema if f.name != id_col]
+    )
+    if id_col is None:
+        return inserted
+    last = probe.agg(F.max("_top")) if ids_after is None else ids_after.agg(F.max(id_col))
+    return with_ids_from(inserted, F.coalesce(last.scalar(), F.lit(0)), id_col, list(keys))
+
+
 def delete_keys(base: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     return base.join(doomed.select(*keys).distinct(), keys, "left_anti").select(*base.columns)
 
 
 def with_new_ids(rows: DataFrame, base: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
-    """Give rows dense ids after the largest id of ``base``.
+    """Give rows dense ids after the largest id of ``base``."""
+    return with_ids_from(rows, base.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar(), id_col, order)
+
+
+def with_ids_from(rows: DataFrame, start: Column, id_col: str, order: Sequence[str]) -> DataFrame:
+    """Give rows dense ids after ``start``.
 
     The order is (MD5 bucket, key), so ids depend only on the data: a retried
     task or another cluster size yields the same ids. Each bucket is numbered on
@@ -139,7 +174,6 @@ def with_new_ids(rows: DataFrame, base: DataFrame, id_col: str, order: Sequence[
     counts = tagged.groupBy("_bucket").agg(F.count("*").alias("_n"))
     running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset"))
-    start = base.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return (
         tagged.withColumn("_rank", rank)
@@ -158,33 +192,3 @@ def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int, at_most: int =
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
     return counts.filter(F.col("_rows") > threshold).orderBy(F.desc("_rows"), *keys).limit(at_most).select(*keys)
-
-
-def carry_previous(
-    df: DataFrame, key: str, order: str, value: str, bucket: Column, hot: DataFrame, name: str
-) -> DataFrame:
-    """``lag(value)`` per key without ever sorting a hot key in one task.
-
-    Rows of the keys in ``hot`` (bounded, see ``hot_keys``) are cut by
-    ``bucket``, which must grow with ``order`` (a day of a timestamp, say), and
-    lagged within (key, bucket). Only the first row of a bucket needs the last
-    value of the bucket before it; that comes from a table with one row per hot
-    key and bucket. ``order`` must be unique per key and ``value`` never NULL.
-    """
-    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    tagged = marked.withColumn("_bucket", F.when(F.col("_hot"), bucket).otherwise(F.lit(0)))
-    inside = Window.partitionBy(key, "_bucket").orderBy(order)
-    lagged = tagged.withColumn("_inner", F.lag(value).over(inside))
-    edges = (
-        df.join(F.broadcast(hot), key, "left_semi")
-        .groupBy(key, bucket.alias("_bucket"))
-        .agg(F.max_by(value, order).alias("_last"))
-    )
-    carried = edges.select(
-        key, "_bucket", F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket")).alias("_carried")
-    )
-    return (
-        lagged.join(carried, [key, "_bucket"], "left")
-        .withColumn(name, F.coalesce("_inner", "_carried"))
-        .drop("_hot", "_bucket", "_inner", "_carried")
-    )
