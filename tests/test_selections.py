@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -98,6 +99,25 @@ def test_dossier_pages_clamp_and_total(spark, rows):
     assert rows(totals) == [(1, 5, 120), (2, 1, 10)]
 
 
+def test_pages_at_any_depth(spark, rows):
+    rng = random.Random(3)
+    made = {(a, i): rng.choice([5, 5, 90_000_000, 90_000_001, 10**9 + rng.randrange(50)]) for a in (1, 2, 3) for i in range(1, 401 if a < 3 else 40)}
+    items = spark.createDataFrame([(a, i, at) for (a, i), at in made.items()], "account_id long, product_id long, created_at long")
+    cuts = [F.floor(F.col("created_at") / 86_400_000), F.col("created_at"), F.floor(F.col("product_id") / 16)]
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "20")
+    try:
+        for skip, size in ((0, 7), (15, 10), (150, 25), (390, 25), (500, 3)):
+            want = []
+            for account in (1, 2, 3):
+                sequence = sorted((at, i) for (a, i), at in made.items() if a == account)
+                want += [(account, i, p) for p, (_, i) in enumerate(sequence, 1) if skip < p <= skip + size]
+            got = selections.page_at(items, "account_id", cuts, ["created_at", "product_id"], skip, size)
+            assert rows(got, "account_id", "product_id", "position") == sorted(want, key=repr)
+            assert got.columns == ["account_id", "product_id", "created_at", "position"]
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
 def test_removal_needs_the_owner(spark, rows):
     mine = spark.createDataFrame([(1, 10, "ntfy", "t", 1, 0), (2, 10, "ntfy", "t", 1, 0)], TABLES["alert_channels"])
     doomed = spark.createDataFrame([(1, 10), (2, 11)], "id long, account_id long")
