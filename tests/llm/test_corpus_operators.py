@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from varuvakt.llm import common, fingerprint, hmm, licenses, packing, quality, secrets, sentencepiece, simhash, topk, urlfilter
 
@@ -178,6 +179,22 @@ def test_fingerprints_follow_the_contract(spark, docs, texts, odd):
     assert fingerprint.fingerprints(odd).count() == 2 and fingerprint.fingerprints(empty(spark)).count() == 0
 
 
+def test_paragraphs_come_and_go_without_the_text(spark):
+    rng = random.Random(5)
+    words = ["ett", "två", "tre", "fyra", "été", "x"]
+    lines = [" ".join(rng.choices(words, k=rng.randrange(0, 9))) for _ in range(40)]
+    cases = [(["a b", "c d", ""], ["e"]), (lines[:20], lines[20:]), (lines[:5], lines[:5]), ([""], ["", ""]), (["a"], [])]
+    texts = [(2 * k, "\n".join(kept)) for k, (kept, _) in enumerate(cases)]
+    texts += [(2 * k + 1, "\n".join(rng.sample(kept + more, len(kept + more)))) for k, (kept, more) in enumerate(cases)]
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    rows = [(k, prints[2 * k], prints[2 * k + 1], more) for k, (_, more) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "k int, small string, large string, parts array<string>")
+    for r in df.select("*", fingerprint.inserted(F.col("small"), F.col("parts")).alias("up"), fingerprint.deleted(F.col("large"), F.col("parts")).alias("down")).collect():
+        assert r["up"] == r["large"] and r["down"] == r["small"], r["k"]
+    odd = spark.createDataFrame([(prints[0], None), (None, ["a"])], "f string, parts array<string>")
+    assert [r[0] for r in odd.select(fingerprint.inserted(F.col("f"), F.col("parts"))).collect()] == [prints[0], None]
+
+
 def test_fingerprint_successors_over_buckets(spark):
     buckets = [-5, 0, 1, 2, 7, 40, 41, 10_000]
     got = {r["bucket"]: r["next"] for r in fingerprint.successors(spark.createDataFrame([(b,) for b in buckets], "bucket long"), width=3).collect()}

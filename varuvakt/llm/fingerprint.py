@@ -74,6 +74,48 @@ def pair_hashes(parts: Column, part: int) -> Column:
     return F.flatten(F.transform(parts, of))
 
 
+def inserted(fingerprint: Column, parts: Column) -> Column:
+    """The fingerprint after the paragraphs of ``parts`` (array of strings, in any order, repeats counted) have been added.
+
+    The text is not needed. Null parts or an empty array change nothing; a null fingerprint stays null. Each word pair of
+    ``parts`` is looked at once a lane, so this is for edits, not for whole corpora.
+    """
+    return _moved(fingerprint, parts, 1)
+
+
+def deleted(fingerprint: Column, parts: Column) -> Column:
+    """The fingerprint after the paragraphs of ``parts`` have been taken away: the inverse of ``inserted``.
+
+    Whether the text holds them is not known here: taking away others gives the fingerprint that adding them leads back from.
+    """
+    return _moved(fingerprint, parts, -1)
+
+
+def _moved(fingerprint: Column, parts: Column, sign: int) -> Column:
+    def number(start: int, digits: int) -> Column:
+        return F.conv(F.substring(fingerprint, start + 1, digits), 16, 10).cast("long")
+
+    given = F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda p: p.isNotNull())
+    width = 8 * 2 * len(SEEDS)
+    strict = [
+        F.lpad(F.hex((number(8 * k, 8) + sign * lane).bitwiseAND(F.lit(LOW))), 8, "0") for k, lane in enumerate(strict_lanes(given))
+    ]
+
+    def counted(pairs: Column) -> Column:
+        def of(lane: Column) -> Column:
+            here = F.filter(pairs, lambda e: e["h"].bitwiseAND(F.lit(63)) == lane)
+            return F.aggregate(here, F.lit(0).cast("long"), lambda acc, e: acc + F.when(e["h"] < 0, -1).otherwise(1))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(2 * COUNTERS - 1)), of)
+
+    def lanes(moves: Column) -> Column:
+        sums = [(number(width + 4 * lane, 4) + sign * F.get(moves, F.lit(lane))).bitwiseAND(F.lit(0xFFFF)) for lane in range(2 * COUNTERS)]
+        return F.concat(*[F.lpad(F.hex(v), 4, "0") for v in sums])
+
+    counts = bound(bound(pair_hashes(given, 0), counted), lanes)
+    return F.lower(F.concat(*strict, counts))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     texts = texts_of(docs).where("doc_id IS NOT NULL").withColumn("bucket", F.floor(F.col("doc_id") / BUCKET))
