@@ -1,6 +1,7 @@
 """Corpus operators against brute force, and their defined results on odd inputs."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -503,3 +504,27 @@ def test_pipeline_against_its_parts(spark, docs, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p["doc_id"] for p in pieces} == set(kept)
     check_pieces(pieces, {k: hidden[k]["text"] for k in kept})
+
+
+def test_url_trees_judge_urls_they_have_not_seen(spark):
+    rng = random.Random(8)
+    block = [f"https://{rng.choice(['casino', 'pills', 'xxx'])}-{rng.randrange(10**6)}.s{rng.randrange(40)}.se/go?id={rng.randrange(10**9)}&r={rng.randrange(10**9)}" for _ in range(300)]
+    allow = [f"https://{rng.choice(['news', 'shop', 'blog'])}.s{rng.randrange(40)}.se/{rng.choice(['about', 'help', 'read'])}/{'abcdefgh'[: rng.randrange(2, 8)]}{k}" for k in range(600)]
+    pages = spark.createDataFrame(list(enumerate(block + allow)), "page_id long, url string")
+    labelled = spark.createDataFrame([(u, float(u in set(block))) for u in block + allow], "url string, label double")
+    seen = {r["url"] for r in common.smallest(labelled, "url", 100, "label").collect()}
+    verdict = {r["page_id"]: r["verdict"] for r in urlfilter.verdicts(pages, sample=100).collect()}
+    held = [(k < len(block), verdict[k] == "block") for k, u in enumerate(block + allow) if u not in seen]
+    hits = sum(true and said for true, said in held)
+    assert len(held) > 600
+    assert hits >= 0.95 * sum(true for true, _ in held) and hits >= 0.95 * sum(said for _, said in held)
+
+
+def test_url_suffix_rates_leave_out_the_own_label(spark):
+    """One URL per suffix, all of the same letters: nothing but a rate that held the own label could tell them apart."""
+    rng = random.Random(9)
+    suffixes = rng.sample(["".join(p) for p in itertools.permutations("bdfghk")], 300)
+    urls = [f"https://{'casino' if rng.random() < 0.3 else 'casion'}.{suffix}.se/" for suffix in suffixes]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls) for _ in range(2)], "page_id long, url string")
+    got = [r[0] for r in urlfilter.verdicts(pages).select("block_probability").collect()]
+    assert len(got) == 600 and max(got) - min(got) < 1e-9

@@ -4,7 +4,7 @@ The trees learn from labelled URLs. A URL whose host holds a listed word is labe
 other that no rule blocks "allow"; rules that block are policy and say nothing about a URL's look, so what they
 block is left out. The words label, but are no feature. Features: lengths, path
 depth, digit ratio, character entropy, parameter and separator counts, labels of the host, and statistics
-of the host's suffix (its share among all pages and its smoothed block rate among labelled URLs).
+of the host's suffix (its share among all pages and its smoothed block rate among the other labelled URLs).
 
 Cases: a null URL or one without "://" has empty host and path, and no rule fits.
 Without labelled URLs of both verdicts there is no model: all others get the only verdict seen, or
@@ -91,16 +91,20 @@ def verdicts(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     url = F.coalesce("url", F.lit(""))
     rows = described(pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url")), rules)
     labelled = rows.where("label IS NOT NULL").select("label", "url").distinct()
-    # One row per suffix; the mean and the number of rows go with it.
-    suffixes = rows.groupBy("suffix").agg(F.count("*").cast("double").alias("seen"), F.count("label").cast("double").alias("labelled"), F.sum("label").alias("blocked"))
+    # One row per suffix; the mean and the number of rows go with it. Labels count once per URL.
+    each = rows.groupBy("suffix", "url").agg(F.count("*").cast("double").alias("seen"), F.max("label").alias("label"))
+    suffixes = each.groupBy("suffix").agg(F.sum("seen").alias("seen"), F.count("label").cast("double").alias("labelled"), F.sum("label").alias("blocked"))
     suffixes = stored(suffixes.withColumn("blocked", F.coalesce("blocked", F.lit(0.0))), "url-suffixes")
     total = suffixes.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("seen", "labelled", "blocked")]).first()
     mean = total[2] / total[1] if total[1] else 0.0
-    rate = (F.col("blocked") + SMOOTHING * mean) / (F.col("labelled") + SMOOTHING)
-    known = suffixes.select("suffix", (F.col("seen") / max(total[0], 1.0)).alias("x_suffix_share"), rate.alias("x_suffix_rate"))
+    known = suffixes.select("suffix", (F.col("seen") / max(total[0], 1.0)).alias("x_suffix_share"), "labelled", "blocked")
+    # A labelled URL's own label is left out of its suffix's rate, in learning and in scoring.
+    others = F.col("labelled") - F.col("label").isNotNull().cast("double")
+    rate = (F.col("blocked") - F.coalesce("label", F.lit(0.0)) + SMOOTHING * mean) / (others + SMOOTHING)
 
     def featured(rows: DataFrame) -> DataFrame:
-        return rows.join(known, "suffix", "left").withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
+        joined = rows.join(known, "suffix", "left").withColumn("x_suffix_rate", rate).drop("labelled", "blocked")
+        return joined.withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
 
     rows = featured(rows)
     columns = [c for c in rows.columns if c.startswith("x_")]
