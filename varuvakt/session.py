@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows may be whole documents or files: what a Python worker holds at a time is bounded by bytes, not only by a count of rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
