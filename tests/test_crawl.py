@@ -218,3 +218,27 @@ def test_crawl_batches_match_statement_by_statement_runs(spark, rows):
     assert rows(all_jobs, "url", "site_id", "type", "status", "last_error") == sorted(want["j"], key=repr)
     ids = [r[0] for r in rows(after, "id")]
     assert len(set(ids)) == len(ids)
+
+
+def test_crawl_batch_reads_history_of_listed_products_only(spark, rows):
+    """A result's own price is written whatever the history says; only list prices are held against it."""
+    products = spark.createDataFrame([(k, f"u{k}", 1, *[None] * 8, 0, 0) for k in (1, 2, 3)], TABLES["products"])
+    history = spark.createDataFrame([(k, 10, 5) for k in (1, 2, 3)], TABLES["price_history"])
+    jobs = jobs_of(spark, job(1, "leased"), job(2, "leased"), job(9, "leased", kind="list", url="list"), job(4, "leased"))
+    listed = [("u2", None, 10, None), ("u2", None, 11, None), ("u3", None, None, None), ("u8", None, 7, None)]
+    results = [(k, k, None, None, 10, None, None, None, None) for k in (1, 2)] + [(9, 9, None, None, None, None, None, None, listed)]
+    whole, asked, kept = {"products": products, "price_history": history, "render_jobs": jobs}, {}, {}
+
+    def lookup(name, keys):
+        asked[name] = rows(keys)
+        return whole[name]
+
+    def keep(name, part):
+        kept[name] = part.persist()
+        return kept[name]
+
+    changes = changed_tables(products, history, jobs, spark.createDataFrame(results, CRAWL_RESULT), NOW, keep, lookup)
+    ids = dict(rows(changes["products"], "url", "id"))
+    assert asked["price_history"] == sorted([(2,), (ids["u8"],)]) and rows(kept["history"], "product_id") == [(2,)]
+    assert rows(changes["price_history"], "product_id", "price") == sorted([(1, 10), (2, 10), (2, 11), (ids["u8"], 7)])
+    assert rows(changes["render_jobs"].where(f"created_at < {NOW}"), "id", "status") == [(1, "done"), (2, "done"), (9, "done")]

@@ -17,7 +17,7 @@ is written by several.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -130,15 +130,12 @@ class SnapshotStore:
         key = self.keys[name]
         if key is None:
             return current.unionByName(changed)
-        batch = F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).cast("long")
-        values = F.struct(*[c for c in current.columns if c not in key])
-        newest = (
-            changed.withColumn("_batch", batch)
-            .groupBy(*key)
-            .agg(F.max_by(values, F.col("_batch")).alias("_row"))
-            .select(*key, "_row.*")
-        )
-        return current.join(newest.select(*key), key, "left_anti").unionByName(newest)
+        batch = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/batch=", -1), "/", 1).cast("long")
+        # A batch holds a key once, so images meet first after the shuffle; they are sorted there once.
+        newer = Window.partitionBy(*key).orderBy(F.col("_batch").desc())
+        images = changed.withColumn("_batch", batch).withColumn("_newer", F.lag("_batch").over(newer))
+        newest = images.where("_newer IS NULL").drop("_batch", "_newer")
+        return current.join(changed.select(*key).distinct(), key, "left_anti").unionByName(newest)
 
     def _write(self, kind: str, number: int, tables: dict[str, DataFrame]) -> None:
         for name, rows in tables.items():

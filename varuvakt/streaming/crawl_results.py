@@ -48,6 +48,7 @@ def changed_tables(
     that grows with the batch. ``keep`` may store a named intermediate result that is used several times;
     ``lookup(name, keys)`` may give fewer rows than the whole table, as long as all rows of ``keys`` (of one column) are
     among them. Whole columns are read only for the largest ids and for the jobs of found links.
+    History is looked up, and details are judged with list prices, only for products with a list price in the batch: no others can get a point from a list.
     """
     whole = dict(zip(NAMES, (products, history, jobs), strict=True))
 
@@ -57,7 +58,8 @@ def changed_tables(
     reported = keep("reported", touched_by("render_jobs", results.select(F.col("job_id").alias("id"))))
     known = keep("known", with_jobs(results, reported))
     details, links, items = flatten_results(known)
-    urls = details.select("url").unionByName(links.select("url")).unionByName(items.select("url")).distinct()
+    # Kept, so that their number is known when they meet the products.
+    urls = keep("urls", details.select("url").unionByName(links.select("url")).unionByName(items.select("url")).distinct())
     touched = keep("touched", touched_by("products", urls))
     after = keep("products", apply_crawl_batch(touched, details, links, items, now_ms, ids_after=products))
 
@@ -65,8 +67,9 @@ def changed_tables(
     item_place = F.struct("ord", F.lit(2).alias("kind"), F.col("pos").cast("int").alias("pos"))
     detail_place = F.struct("ord", F.lit(0).alias("kind"), F.lit(0).alias("pos"))
     offered = items.join(ids, "url").select("product_id", "price", item_place.alias("ord"))
-    seen = details.join(ids, "url").select("product_id", "price", detail_place.alias("ord"))
-    priced = keep("history", touched_by("price_history", ids.select("product_id")))
+    listed = keep("listed", offered.filter("price IS NOT NULL").select("product_id").distinct())
+    seen = details.join(ids, "url").select("product_id", "price", detail_place.alias("ord")).join(listed, "product_id", "left_semi")
+    priced = keep("history", touched_by("price_history", listed))
     points = detail_history(details, after, now_ms).unionByName(list_history(offered, priced, now_ms, seen))
 
     failed = blank_to_null(F.col("error")).isNotNull()
